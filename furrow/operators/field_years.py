@@ -29,14 +29,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
 
     nodes = scale.cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct())
+    # Minima have at most one row per node, so one check of the node count serves every round.
+    _, small = scale.broadcast_if_small(nodes.withColumn("__m", F.col("src")))
     pairs = scale.cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
     last = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = scale.attach(both, minima(both), ["src"]).where("dst > src").select(
+        large = scale.attach(both, minima(both), ["src"], small=small).where("dst > src").select(
             F.col("dst").alias("src"), F.col("__m").alias("dst")).where("src <> dst").distinct()
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        lowest = scale.attach(down, minima(down), ["src"])
+        lowest = scale.attach(down, minima(down), ["src"], small=small)
         small = lowest.select(F.explode(F.array("src", "dst")).alias("src"), F.col("__m").alias("dst")).where(
             "src <> dst").distinct()
         pairs = scale.cut_lineage(small)

@@ -58,17 +58,22 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left",
-           salts: int = SALTS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+           salts: int = SALTS, max_bytes: int = MAX_BROADCAST_BYTES, small: bool | None = None) -> DataFrame:
     """Join a table with one row per key onto ``df``; NULL keys match NULL keys.
 
     ``stats`` is written to the checkpoint folder once, so chained statistics do
     not recompute each other. Small statistics are broadcast. Large ones are
     joined on (key, salt): the facts of a hot key spread over ``salts`` tasks.
+    A caller that has already checked a bound on the size passes ``small``.
     """
-    stats = cut_lineage(stats)
+    if small is None:
+        stats = cut_lineage(stats)
     renamed = stats.select(*[F.col(k).alias(f"__{k}") for k in keys],
                            *[c for c in stats.columns if c not in keys])
-    hinted, small = broadcast_if_small(renamed, max_bytes)
+    if small is None:
+        hinted, small = broadcast_if_small(renamed, max_bytes)
+    else:
+        hinted = F.broadcast(renamed) if small else renamed
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] or [F.lit(True)]
     drop = [f"__{k}" for k in keys]
     if small or not keys:
