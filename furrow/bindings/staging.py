@@ -345,8 +345,8 @@ def stream_weekly(spark, sf):
 
 
 QUERIES["stream_weekly"] = stream_weekly
-ORACLES["stream_weekly"] = rounded_sql("""SELECT CAST(DATE '2024-01-01' + CAST((date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7) * 7 AS INT) AS TIMESTAMP) AS week_start, event_type,
- avg(value) AS mean_value, count(*) AS n FROM events GROUP BY ALL HAVING week_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""", ["mean_value"])
+ORACLES["stream_weekly"] = rounded_sql("""SELECT * FROM (SELECT CAST(DATE '2024-01-01' + CAST((date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7) * 7 AS INT) AS TIMESTAMP) AS week_start,
+ event_type, avg(value) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2) WHERE week_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""", ["mean_value"])
 
 
 def weekly_batch(spark, sf):

@@ -10,6 +10,7 @@ range chunks when a group is larger than one task should hold.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,10 +21,20 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there; survives lost executors.
+
+    Group statistics and loop states are reliable checkpoints. ``wide`` facts that
+    several branches read are written as a columnar table, so that each branch
+    reads only its own columns.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not wide:
+        return df.checkpoint(eager=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -116,7 +127,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[
 
     chunked = cut_lineage(
         df.repartitionByRange(*[F.col(k) for k in keys], *order, row_hash(df))
-        .withColumn("__chunk", F.spark_partition_id()))
+        .withColumn("__chunk", F.spark_partition_id()), wide=True)
     part = keys + ["__chunk"]
     totals = chunked.groupBy(*part).agg(*[F.sum(expr).alias(f"__{name}") for name, expr in sums.items()])
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__chunk").rowsBetween(
