@@ -150,7 +150,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumbe
 
 def rank_features(spark, sf):
     rows = table(spark, sf, "lineitem").withColumns({"l_tax": F.when(F.col("l_tax") > 0, F.col("l_tax")), "constant": F.lit(1.0)})
-    out = metrics.rank_features(rows, [*FEATURES, "constant"], "l_returnflag", ["A", "N", "R"], 4)
+    out = metrics.rank_features(rows, [*FEATURES, "constant"], "l_returnflag", 4)
     return rounded(out.select("class", F.col("rank").cast("bigint").alias("rank"), "feature", "abs_r"))
 
 

@@ -36,7 +36,7 @@ def majority_label(pixels: DataFrame, parcel: str, code: str,
 
 
 def join_labels(features: DataFrame, labels: DataFrame, key: str = "pid") -> DataFrame:
-    return features.join(labels, key, "inner")
+    return scale.skew_join(features, labels, [key], "inner")
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def unmatched(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFr
 
 
 def join_label_years(weekly: DataFrame, labels: DataFrame, parcel: str = "quarter_section") -> DataFrame:
-    return weekly.join(labels, [parcel, "year"], "left")
+    return scale.skew_join(weekly, labels, [parcel, "year"])
 
 
 def load_yield_reference(raw: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -76,7 +76,7 @@ def join_pixel_yield(pixels: DataFrame, yields: DataFrame, match_crop: str | Non
 
     A quarter with two crops doubles its pixels; name a pixel crop column to match crops too.
     """
-    joined = pixels.join(yields, ["quarter_section", "year"])
+    joined = scale.skew_join(pixels, yields, ["quarter_section", "year"], "inner")
     if match_crop:
         joined = joined.where(F.col(match_crop) == F.col("crop"))
     return joined.withColumn("row_id", row_id(F.col("quarter_section"), F.col("crop"), F.col("year")))
@@ -112,6 +112,6 @@ def exclude_sampled(parcels: DataFrame, sampled: DataFrame, key: str = "pid") ->
 
 def require_features(items: DataFrame, features: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
     """Groups whose every parcel has a feature row."""
-    marked = items.join(features.select(*keys, F.lit(True).alias("__found")).distinct(), keys, "left")
+    marked = scale.skew_join(items, features.select(*keys, F.lit(True).alias("__found")).distinct(), keys)
     return marked.groupBy(*group).agg(F.bool_and(F.coalesce("__found", F.lit(False))).alias("complete")).where(
         "complete").drop("complete")

@@ -108,30 +108,39 @@ def class_field_counts(df: DataFrame, label: str = "crop_label", pid: str = "pid
     return df.groupBy(label).agg(F.count_distinct(pid).alias("fields"))
 
 
-def feature_correlations(df: DataFrame, features: list[str], target: Column, keys: list[str] = []) -> DataFrame:
-    """|Pearson r| of each feature with a target over rows where it is finite; 0 when undefined."""
-    def score(name: str) -> Column:
-        x = F.col(name).cast("double")
-        ok = x.isNotNull() & target.isNotNull() & ~F.isnan(x) & ~x.isin(float("inf"), float("-inf"))
-        x, t = F.when(ok, x), F.when(ok, target.cast("double"))
-        return F.abs(F.try_divide(F.covar_pop(x, t), F.nullif(F.stddev_pop(x) * F.stddev_pop(t), F.lit(0.0))))
-
-    wide = df.groupBy(*keys).agg(*[F.coalesce(score(f), F.lit(0.0)).alias(f) for f in features])
-    return wide.unpivot(keys, features, "feature", "abs_r")
-
+def feature_correlations(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """|Pearson r| of each feature with membership of each class, over rows where the feature is finite.
 
-def rank_features(df: DataFrame, features: list[str], label: str, classes: list[str], k: int) -> DataFrame:
-    """The k features most correlated with each class against the rest; ties keep column order.
-
-    Every class is scored in one pass by one aggregate per class and feature.
+    One aggregate per class holds count, mean and variance of every feature; the
+    correlation with a class indicator follows from those, so all classes cost one
+    pass. Undefined correlations are 0.
     """
+    def finite(name: str) -> Column:
+        x = F.col(name).cast("double")
+        return F.when(~F.isnan(x) & ~x.isin(float("inf"), float("-inf")), x)
+
+    per_class = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("class")).agg(*[
+        F.struct(F.lit(f).alias("feature"), F.count(finite(f)).alias("n"), F.avg(finite(f)).alias("mean"),
+                 F.var_pop(finite(f)).alias("var")).alias(f"__f{i}") for i, f in enumerate(features)])
+    # One row per class and feature from here on.
+    long = scale.cut_lineage(per_class.select("class", F.explode(F.array(*[f"__f{i}" for i in range(len(features))])).alias("s"))
+                             .select("class", "s.*"))
+    total = long.groupBy("feature").agg(F.sum("n").alias("all_n"), F.try_divide(
+        F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("all_mean"))
+    rows = scale.attach(long, total, ["feature"])
+    spread = rows.groupBy("feature").agg((F.try_divide(F.sum(
+        F.col("n") * (F.col("var") + F.pow(F.col("mean") - F.col("all_mean"), 2))), F.first("all_n"))).alias("all_var"))
+    rows = scale.attach(rows, spread, ["feature"])
+    share = F.try_divide("n", "all_n")
+    r = F.try_divide(share * (F.col("mean") - F.col("all_mean")), F.nullif(F.sqrt(F.col("all_var") * share * (1 - share)), F.lit(0.0)))
+    return rows.select("class", "feature", F.coalesce(F.abs(r), F.lit(0.0)).alias("abs_r"))
+
+
+def rank_features(df: DataFrame, features: list[str], label: str, k: int) -> DataFrame:
+    """The k features most correlated with each class against the rest; ties keep column order."""
     from pyspark.sql import Window
-    parts = [feature_correlations(df, features, (F.col(label) == c).cast("int")).withColumn("class", F.lit(c))
-             for c in classes]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
     order = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
     # One row per class and feature, so a window group is bounded by the feature list.
     position = F.row_number().over(Window.partitionBy("class").orderBy(F.col("abs_r").desc(), order))
-    return long.withColumn("rank", position).where(F.col("rank") <= k).select("class", "rank", "feature", "abs_r")
+    return feature_correlations(df, features, label).withColumn("rank", position).where(F.col("rank") <= k).select(
+        "class", "rank", "feature", "abs_r")

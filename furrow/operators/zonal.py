@@ -125,8 +125,8 @@ def zonal_join(pixels: DataFrame, parcels: DataFrame, *, lon: str = "lon", lat:
     """Attach each pixel to every parcel whose polygon holds it.
 
     Parcels are listed under every grid cell their box touches, so the join is an
-    equi-join on the cell followed by an exact ray test. Small parcel sets are
-    broadcast; otherwise a crowded cell is spread by salting its pixels.
+    equi-join on the cell with an exact ray test. Small parcel sets are broadcast;
+    otherwise a crowded cell is spread by salting its pixels.
     """
     box = bounding_box(F.col("polys"))
 
@@ -138,14 +138,7 @@ def zonal_join(pixels: DataFrame, parcels: DataFrame, *, lon: str = "lon", lat:
         F.explode(F.sequence(index(F.col("__box.lon_min")), index(F.col("__box.lon_max")))).alias("__cx")).select(
         "pid", "polys", "__cx", "__box",
         F.explode(F.sequence(index(F.col("__box.lat_min")), index(F.col("__box.lat_max")))).alias("__cy"))
-    keyed = pixels.withColumns({"__px": index(F.col(lon)), "__py": index(F.col(lat))})
-    hinted, small = scale.broadcast_if_small(cells)
-    on = (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy"))
-    if not small:
-        keyed = keyed.withColumn("__salt", F.pmod(scale.row_hash(pixels), F.lit(scale.SALTS)))
-        hinted = cells.withColumn("__copy", F.explode(F.sequence(
-            F.lit(0).cast("bigint"), F.lit(scale.SALTS - 1).cast("bigint"))))
-        on &= F.col("__salt") == F.col("__copy")
+    keyed = pixels.withColumns({"__cx": index(F.col(lon)), "__cy": index(F.col(lat))})
     inside = F.col(lon).between(F.col("__box.lon_min"), F.col("__box.lon_max")) & F.col(lat).between(
         F.col("__box.lat_min"), F.col("__box.lat_max")) & contains(F.col("polys"), F.col(lon), F.col(lat))
-    return keyed.join(hinted, on).where(inside).select(*[F.col(c) for c in pixels.columns], "pid")
+    return scale.skew_join(keyed, cells, ["__cx", "__cy"], "inner", condition=inside).select(*pixels.columns, "pid")

@@ -269,7 +269,7 @@ def one_vs_rest_ranked(df: DataFrame, candidates: list[str], label: str, *, grou
     """Per class: the best-correlated features, grouped CV of a balanced logistic model, and its scores."""
     classes = class_list(df, label)
     chosen: dict[str, list[str]] = {}
-    for row in metrics.rank_features(df, candidates, label, classes, top_k).orderBy("rank").collect():
+    for row in metrics.rank_features(df, candidates, label, top_k).orderBy("rank").collect():
         chosen.setdefault(row["class"], []).append(row["feature"])
     parts = []
     for crop in classes:
@@ -329,46 +329,47 @@ def pixel_classifier(df: DataFrame, features: list[str], *, label: str = "crop",
 # --- regression benchmarks ------------------------------------------------
 
 def knn_regress(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5, *,
-                block: int = 20_000) -> DataFrame:
+                block: int = 10_000) -> DataFrame:
     """Mean label of the k nearest training rows by Euclidean distance, ties by key.
 
-    Training rows are visited in bounded blocks: each block is broadcast as one
-    matrix, every test partition keeps only its best k so far, and the best of all
-    blocks are merged. No pair is shuffled and no block outgrows a task.
+    Both sides are cut into blocks of bounded size and every pair of blocks meets
+    in one task as two matrices. A task returns only the best k of each test row,
+    which are merged; pairs of rows are never written out.
     """
     import numpy as np
     import pandas as pd
 
-    base = scale.cut_lineage(train.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(label).cast("double").alias("y")))
-    blocks = max(1, -(-base.count() // block))
-    probes = test.select(F.col(key).alias("__key"), F.col(vector).alias("__v"))
-    found = None
-    for b in range(blocks):
-        rows = base.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).orderBy("k").collect()
-        if not rows:
-            continue
-        shared = train.sparkSession.sparkContext.broadcast((
-            np.array([r.k for r in rows]), np.array([r.v for r in rows], dtype=float), np.array([r.y for r in rows])))
-
-        def nearest(batches, shared=shared):
-            keys, matrix, labels = shared.value
-            squares = (matrix ** 2).sum(axis=1)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                q = np.stack(batch["__v"].to_numpy()).astype(float)
-                d = np.maximum((q ** 2).sum(axis=1)[:, None] + squares[None, :] - 2 * q @ matrix.T, 0.0)
-                take = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({
-                    "__key": np.repeat(batch["__key"].to_numpy(), take.shape[1]), "k": keys[take].ravel(),
-                    "d": np.take_along_axis(d, take, axis=1).ravel(), "y": labels[take].ravel()})
-
-        kind = test.schema[key].dataType.simpleString()
-        part = probes.mapInPandas(nearest, f"__key {kind}, k {kind}, d double, y double")
-        found = part if found is None else found.unionByName(part)
-    nearest_k = F.slice(F.array_sort(F.collect_list(F.struct(F.round("d", 12).alias("d"), "k", "y"))), 1, k)
+    kind = test.schema[key].dataType.simpleString()
+    train = train.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"),
+                         F.col(label).cast("double").alias("y"))
+    test = test.select(F.col(key).alias("__key"), F.col(vector).cast("array<double>").alias("__v"))
+    left, right = [max(1, -(-df.count() // block)) for df in (test, train)]
+
+    def blocked(df: DataFrame, own: str, of: int, other: str, others: int, by: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(of)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def nearest(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(base):
+            return pd.DataFrame({"__key": [], "k": [], "d": [], "y": []})
+        base = base.sort_values("k", kind="stable")
+        matrix, q = np.stack(base["v"].to_numpy()), np.stack(queries["__v"].to_numpy())
+        parts = []
+        for rows in np.array_split(np.arange(len(q)), max(1, len(q) // 500)):
+            d = ((q[rows] ** 2).sum(axis=1)[:, None] + (matrix ** 2).sum(axis=1)[None, :] - 2 * q[rows] @ matrix.T)
+            take = np.argsort(np.round(np.maximum(d, 0.0), 12), axis=1, kind="stable")[:, :k]
+            parts.append(pd.DataFrame({
+                "__key": np.repeat(queries["__key"].to_numpy()[rows], take.shape[1]),
+                "k": base["k"].to_numpy()[take].ravel(), "d": np.take_along_axis(d, take, axis=1).ravel(),
+                "y": base["y"].to_numpy()[take].ravel()}))
+        return pd.concat(parts, ignore_index=True)
+
+    pairs = blocked(test, "__tb", left, "__bb", right, "__key").groupBy("__tb", "__bb").cogroup(
+        blocked(train, "__bb", right, "__tb", left, "k").groupBy("__tb", "__bb"))
+    found = pairs.applyInPandas(nearest, f"__key {kind}, k {kind}, d double, y double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct(F.round("d", 12).alias("d"), "k", "y"))), 1, k)
     total = F.aggregate("n", F.lit(0.0), lambda a, e: a + e["y"])
-    return found.groupBy(F.col("__key").alias(key)).agg(nearest_k.alias("n")).select(
+    return found.groupBy(F.col("__key").alias(key)).agg(best.alias("n")).select(
         key, (total / F.size("n")).alias("predicted"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 MAX_GROUP_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+HOT_KEY_ROWS = 1_000_000
 SALTS = 32
 
 
@@ -68,32 +69,59 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*hashable)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left",
-           salts: int = SALTS, max_bytes: int = MAX_BROADCAST_BYTES, small: bool | None = None) -> DataFrame:
-    """Join a table with one row per key onto ``df``; NULL keys match NULL keys.
+def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """Keys with more than ``rows`` rows. There are at most total / rows of them, so they broadcast."""
+    rows = HOT_KEY_ROWS if rows is None else rows
+    return cut_lineage(df.groupBy(*keys).count().where(F.col("count") > rows).select(*keys))
+
+
+def skew_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", *,
+              condition: Column | None = None, small: bool | None = None,
+              max_bytes: int = MAX_BROADCAST_BYTES, hot_rows: int | None = None) -> DataFrame:
+    """Join ``dim`` to ``facts`` on NULL-safe keys so that no hot key meets in one task.
+
+    A small ``dim`` (checked, or vouched for by the caller) is broadcast. Otherwise
+    both sides shuffle by key, and only keys that are hot in ``facts`` are spread:
+    their facts over salted tasks, their ``dim`` rows copied to each.
+    """
+    dim = dim.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    if small is None:
+        dim, small = broadcast_if_small(dim, max_bytes)
+    elif small:
+        dim = F.broadcast(dim)
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    if condition is not None:
+        on.append(condition)
+    drop = [f"__k_{k}" for k in keys]
+    if not small and keys:
+        hot = hot_keys(facts, keys, hot_rows)
+        if not hot.isEmpty():
+            mark = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
+
+            def marked(df: DataFrame, prefix: str) -> DataFrame:
+                same = [F.col(f"{prefix}{k}").eqNullSafe(F.col(f"__h_{k}")) for k in keys]
+                return df.join(mark, reduce(lambda a, b: a & b, same), "left").drop(*[f"__h_{k}" for k in keys])
+
+            salt = F.when(F.col("__hot"), F.pmod(row_hash(facts), F.lit(SALTS))).otherwise(F.lit(0))
+            facts = marked(facts, "").withColumn("__salt", salt.cast("int")).drop("__hot")
+            copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+            dim = marked(dim, "__k_").withColumn("__copy", F.explode(copies)).drop("__hot")
+            on.append(F.col("__salt") == F.col("__copy"))
+            drop += ["__salt", "__copy"]
+    return facts.join(dim, reduce(lambda a, b: a & b, on or [F.lit(True)]), how).drop(*drop)
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left", *, small: bool | None = None,
+           max_bytes: int = MAX_BROADCAST_BYTES, hot_rows: int | None = None) -> DataFrame:
+    """Put a table with one row per key onto the rows of ``df``; NULL keys match NULL keys.
 
     ``stats`` is written to the checkpoint folder once, so chained statistics do
-    not recompute each other. Small statistics are broadcast. Large ones are
-    joined on (key, salt): the facts of a hot key spread over ``salts`` tasks.
-    A caller that has already checked a bound on the size passes ``small``.
+    not recompute each other; then see ``skew_join``. A caller that has already
+    checked a bound on the size passes ``small``.
     """
     if small is None:
         stats = cut_lineage(stats)
-    renamed = stats.select(*[F.col(k).alias(f"__{k}") for k in keys],
-                           *[c for c in stats.columns if c not in keys])
-    if small is None:
-        hinted, small = broadcast_if_small(renamed, max_bytes)
-    else:
-        hinted = F.broadcast(renamed) if small else renamed
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] or [F.lit(True)]
-    drop = [f"__{k}" for k in keys]
-    if small or not keys:
-        return df.join(hinted, reduce(lambda a, b: a & b, on), how).drop(*drop)
-    facts = df.withColumn("__salt", F.pmod(row_hash(df), F.lit(salts)))
-    copies = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                               F.lit(salts - 1).cast("bigint"))))
-    on.append(F.col("__salt") == F.col("__copy"))
-    return facts.join(copies, reduce(lambda a, b: a & b, on), how).drop("__salt", "__copy", *drop)
+    return skew_join(df, stats, keys, how, small=small, max_bytes=max_bytes, hot_rows=hot_rows)
 
 
 def with_group_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column], **options) -> DataFrame:
