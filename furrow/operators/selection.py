@@ -80,8 +80,8 @@ def filter_purity(labels: DataFrame, min_purity: float = 0.0, keep_other: bool =
 def complete_cases(df: DataFrame, features: list[str], labels: list[str], keep_missing: bool = False) -> DataFrame:
     """Rows without any NULL; or, keeping gaps, rows with every label and at least one feature."""
     if not keep_missing:
-        return df.dropna(how="any", subset=features + labels)
-    return df.dropna(how="any", subset=labels).dropna(how="all", subset=features)
+        return scale.complete(df, features + labels)
+    return scale.complete(df, labels).dropna(how="all", subset=features)
 
 
 def dropped_by_crop(before: DataFrame, after: DataFrame, crop: str = "crop_label") -> DataFrame:

@@ -45,7 +45,7 @@ def moments(df: DataFrame, keys: list[str], features: list[str], label: str) ->
     rows = df.select(*keys, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate([*features, label])])
     width = len(features) + 2
     names = [f"__x{i}" for i in range(width - 1)]
-    rows = rows.dropna(subset=names)
+    rows = scale.complete(rows, names)
     if len(features) <= MAX_EXPRESSION_FEATURES:
         z = [F.lit(1.0)] + [F.col(n) for n in names]
         upper = {(i, j): F.sum(z[i] * z[j]) for i in range(width) for j in range(i, width)}
@@ -175,8 +175,8 @@ def _loo_errors(df: DataFrame, gram_rows, keys, features, label, alphas) -> Data
         fitted[tuple(row[k] for k in keys)] = (n, mean_x, mean_y, sd, np.clip(lam, 0, None), vec, vec.T @ cross)
     shared = df.sparkSession.sparkContext.broadcast(fitted)
     names = [f"__x{i}" for i in range(p)]
-    rows = df.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)],
-                     F.col(label).cast("double").alias("__y")).dropna(subset=[*names, "__y"])
+    rows = scale.complete(df.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)],
+                                    F.col(label).cast("double").alias("__y")), [*names, "__y"])
     penalties = np.asarray(alphas, dtype=float)
 
     def errors(batches):
@@ -233,7 +233,7 @@ def season_ridge(df: DataFrame, keys: list[str], features: list[str], label: str
     totals = scale.cut_lineage(by_year.groupBy(*group).applyInPandas(
         total_moments, total_fields + "moments array<double>, years int"))
     folded = fits.groupBy(*keys, year).agg(F.collect_list(F.struct("alpha", "intercept", "coef")).alias("__fits"))
-    scored = scale.attach(df.dropna(subset=[*features, label]), folded, keys + [year]).select(
+    scored = scale.attach(scale.complete(df, [*features, label]), folded, keys + [year]).select(
         *keys, year, *features, label, F.explode("__fits").alias("__f")).select("*", "__f.*")
     error = F.abs(linear_value(features) - F.col(label))
     # Rounded so that penalties with equal error tie, and the smaller wins, whatever the summation order.

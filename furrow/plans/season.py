@@ -39,7 +39,7 @@ def region_table(yields: DataFrame, monthly_features: list[DataFrame], option: s
     out = yields.select(*keys, "regional_yield")
     for i, features in enumerate(monthly_features):
         out = out.join(features if i == 0 else features.drop("pixels"), keys)
-    out = out.dropna(subset=["regional_yield", *[c for c in out.columns if c.startswith("field_")]])
+    out = scale.complete(out, ["regional_yield", *[c for c in out.columns if c.startswith("field_")]])
     if option and option_sensor(option) == "landsat":
         out = drop_low_coverage(out, LANDSAT_MIN_SHARE)
     return out

@@ -56,6 +56,15 @@ def _row_bytes(df: DataFrame) -> int:
     return 16 + sum(wide.get(field.dataType.typeName(), 8) for field in df.schema.fields)
 
 
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without NULL in ``columns``.
+
+    One condition per column: a single many-column test (as dropna makes) multiplies
+    the optimizer's constraints with every later alias.
+    """
+    return df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])) if columns else df
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """Hint a broadcast when a bounded count shows the table is small; else leave it alone."""
     limit = max(1, max_bytes // _row_bytes(df))

@@ -111,8 +111,7 @@ def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
                         reader = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
                         chunks = pd.read_csv(reader, dtype=str, keep_default_na=False, chunksize=50_000)
                         for chunk in chunks:
-                            records = chunk.to_dict("records")
-                            yield pd.DataFrame({"path": name, "cells": [list(r.items()) for r in records]})
+                            yield pd.DataFrame({"path": name, "cells": chunk.to_dict("records")})
 
     return archives.mapInPandas(unzip, "path string, cells map<string,string>")
 
