@@ -384,7 +384,7 @@ def rectangles(spark, sf):
 
 def zonal_join(spark, sf):
     pixels = table(spark, sf, "lineitem").select((F.col("l_quantity") + 0.1).alias("lon"), (F.col("l_discount") + 0.001).alias("lat"), "l_tax")
-    joined = zonal.zonal_join(pixels, rectangles(spark, sf), cell=0.5)
+    joined = zonal.zonal_join(pixels, rectangles(spark, sf), cell=(2.5, 0.03))
     return rounded(joined.groupBy("pid").agg(F.count("*").alias("pixels"), F.avg("l_tax").alias("mean_tax")))
 
 

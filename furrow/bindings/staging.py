@@ -140,7 +140,7 @@ def report_rows(spark, sf):
     lines = table(spark, sf, "orders").select(F.format_string("%d harvest.xls", year).alias("source_file"), F.lit("Sheet1").alias("source_sheet"),
                                               "o_custkey", "o_orderkey", F.explode(printed).alias("p")).select(
         "source_file", "source_sheet", "o_custkey", "o_orderkey", "p.part", "p.x.*")
-    numbered = scale.ranked(lines, ["source_file"], [F.col("o_custkey"), F.col("o_orderkey"), F.col("part")], "row_number")
+    numbered = scale.ranked(scale.cut_lineage(lines, wide=True), ["source_file"], [F.col("o_custkey"), F.col("o_orderkey"), F.col("part")], "row_number")
     return numbered.select("source_file", "source_sheet", F.col("row_number").cast("int").alias("row_number"), *[f"c{i}" for i in range(13)])
 
 
@@ -254,7 +254,8 @@ def feature_lines(spark, sf):
                     F.when(key % 2 == 0, F.concat(F.lit('"Polygon", "coordinates": ['), ring, F.lit("]"))).otherwise(
                         F.concat(F.lit('"MultiPolygon", "coordinates": [['), ring, F.lit("]]"))),
                     F.when(key % 13 == 5, " oops").otherwise(" } }"), F.lit(","))
-    return table(spark, sf, "customer").select(key.alias("position"), F.when(key % 17 == 3, '{"type": "Header"').otherwise(line).alias("value"))
+    lines = table(spark, sf, "customer").select(key.alias("position"), F.when(key % 17 == 3, '{"type": "Header"').otherwise(line).alias("value"))
+    return scale.cut_lineage(lines)  # as a file would be: text, not the expression that made it
 
 
 def geojson_scan(spark, sf):

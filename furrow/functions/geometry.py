@@ -81,15 +81,24 @@ def project_multipolygon(polys: Column) -> Column:
     return F.transform(polys, lambda rings: F.transform(rings, lambda ring: F.transform(ring, vertex)))
 
 
-def contains(polys: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd ray test of a point against all rings of a multipolygon."""
-    def crossings(ring: Column) -> Column:
+def edges(polys: Column) -> Column:
+    """Every ring's edges as (y1, y2, x1, slope), prepared once per polygon for point tests."""
+    def ring_edges(ring: Column) -> Column:
         following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-        hits = F.zip_with(ring, following, lambda p, q: F.when(
-            ((_lat(p) > lat) != (_lat(q) > lat))
-            & (lon < _lon(p) + F.try_divide((_lon(q) - _lon(p)) * (lat - _lat(p)), _lat(q) - _lat(p))),
-            1).otherwise(0))
-        return F.aggregate(hits, F.lit(0), lambda a, x: a + x)
-
-    total = F.aggregate(F.flatten(polys), F.lit(0), lambda a, ring: a + crossings(ring))
-    return F.pmod(total, F.lit(2)) == 1
+        return F.zip_with(ring, following, lambda p, q: F.struct(
+            _lat(p).alias("y1"), _lat(q).alias("y2"), _lon(p).alias("x1"),
+            F.try_divide(_lon(q) - _lon(p), _lat(q) - _lat(p)).alias("slope")))
+
+    # Level edges never cross a ray.
+    return F.filter(F.flatten(F.transform(F.flatten(polys), ring_edges)), lambda e: e["slope"].isNotNull())
+
+
+def inside(polygon_edges: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd ray test of a point against prepared edges."""
+    crossed = F.filter(polygon_edges, lambda e: ((e["y1"] > lat) != (e["y2"] > lat))
+                       & (lon < e["x1"] + e["slope"] * (lat - e["y1"])))
+    return F.size(crossed) % 2 == 1
+
+
+def contains(polys: Column, lon: Column, lat: Column) -> Column:
+    return inside(edges(polys), lon, lat)

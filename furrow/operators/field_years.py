@@ -28,15 +28,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def signature(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
 
-    nodes = scale.cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct())
+    # Nodes get numbers, fixed once they are written: minima of numbers need no sort.
+    nodes = scale.cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn(
+        "id", F.monotonically_increasing_id()))
     # Minima have at most one row per node, so one check of the node count serves every round.
-    _, small = scale.broadcast_if_small(nodes.withColumn("__m", F.col("src")))
-    pairs = scale.cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
+    _, small = scale.broadcast_if_small(nodes)
+    numbered = edges.where("src <> dst")
+    for side in ("src", "dst"):
+        numbered = scale.skew_join(numbered, nodes.select(F.col("node").alias(side), F.col("id").alias(f"__{side}")),
+                                   [side], "inner", small=small)
+    pairs = scale.cut_lineage(numbered.select(F.col("__src").alias("src"), F.col("__dst").alias("dst")).distinct())
     last = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         large = scale.attach(both, minima(both), ["src"], small=small).where("dst > src").select(
-            F.col("dst").alias("src"), F.col("__m").alias("dst")).where("src <> dst").distinct()
+            F.col("dst").alias("src"), F.col("__m").alias("dst")).where("src <> dst")
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         lowest = scale.attach(down, minima(down), ["src"], small=small)
         small = lowest.select(F.explode(F.array("src", "dst")).alias("src"), F.col("__m").alias("dst")).where(
@@ -48,9 +54,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         last = now
     else:
         raise RuntimeError("Components did not settle; raise max_rounds.")
-    roots = pairs.groupBy("src").agg(F.min("dst").alias("component"))
-    return nodes.join(roots, "src", "left").select(
-        F.col("src").alias("node"), F.coalesce("component", "src").alias("component"))
+    roots = pairs.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("root"))
+    placed = scale.cut_lineage(scale.attach(nodes, roots, ["id"], small=small).select(
+        "node", F.coalesce("root", "id").alias("root")))
+    # A component is named by its smallest node, which does not depend on the numbering.
+    names = placed.groupBy("root").agg(F.min("node").alias("component"))
+    return scale.attach(placed, names, ["root"], small=small).select("node", "component")
 
 
 def group_operations(matches: DataFrame, *, pids: str = "pids", key: str = "operation_id",
@@ -63,7 +72,7 @@ def group_operations(matches: DataFrame, *, pids: str = "pids", key: str = "oper
         "src", F.coalesce(F.concat_ws("\x01", F.lit("p"), "__scope", "__pid"), F.col("src")).alias("dst"))
     components = connected_components(edges)
     node = F.concat_ws("\x01", F.lit("o"), scope, F.col(key))
-    return matches.withColumn("node", node).join(components, "node").withColumnRenamed(
+    return scale.skew_join(matches.withColumn("node", node), components, ["node"], "inner").withColumnRenamed(
         "component", "group_id").drop("node")
 
 

@@ -66,13 +66,15 @@ def match_operations(operations: DataFrame, parcels: DataFrame) -> DataFrame:
         "legal_description": F.coalesce("__legal.label", F.lit("")),
         "pids": F.coalesce("__legal.pids", F.array().cast("array<string>")),
         "__what": F.coalesce("crop", F.lower("crop_raw"))})
+    ops = scale.cut_lineage(ops.drop("__legal"), wide=True)
     sharing = parcel_sharing(ops, crop="__what")
     pending = ops.where(F.col("processing_status") == "pending_boundary_review").drop("__what")
     usable = parcels.where(F.coalesce("ra", F.lit("")) == "")
     wanted = pending.select(F.explode("pids").alias("pid")).distinct()
-    found = usable.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min_by("polys", "position").alias("polys")) \
-        if "position" in parcels.columns else usable.join(wanted, "pid", "left_semi").dropDuplicates(["pid"])
-    acres = scale.cut_lineage(found.select("pid", multipolygon_acres(F.col("polys")).alias("acres")))
+    # The first feature of a pid counts; without a file position any one is taken.
+    at = F.col("position") if "position" in parcels.columns else F.col("pid")
+    acres = scale.cut_lineage(usable.join(wanted, "pid", "left_semi").groupBy("pid").agg(
+        F.min_by(multipolygon_acres(F.col("polys")), at).alias("acres")))
     per_op = scale.attach(pending.select("operation_id", F.explode("pids").alias("pid")), acres, ["pid"]).groupBy(
         "operation_id").agg(F.count("acres").alias("__matched"), F.sum("acres").alias("__acres"))
     out = scale.attach(scale.attach(pending, sharing, ["operation_id"]), per_op, ["operation_id"])

@@ -9,7 +9,7 @@ from furrow import scale
 from furrow.columns import (
     FRACTION_CODES, HARVEST_CROP_CODES, MONTHS, REGION_CODE_TO_CROP, SEASONAL_WINDOWS,
 )
-from furrow.functions.geometry import bounding_box, contains
+from furrow.functions.geometry import bounding_box, edges, inside
 from furrow.operators.composites import months_wide
 
 
@@ -121,24 +121,25 @@ def coverage_diagnostics(counts: DataFrame, parcel: str, years: list[int], *, mi
 
 
 def zonal_join(pixels: DataFrame, parcels: DataFrame, *, lon: str = "lon", lat: str = "lat",
-               cell: float = 0.01) -> DataFrame:
+               cell: tuple[float, float] = (0.01, 0.01)) -> DataFrame:
     """Attach each pixel to every parcel whose polygon holds it.
 
-    Parcels are listed under every grid cell their box touches, so the join is an
+    Parcels are listed under every grid cell (lon size, lat size) their box touches;
+    cells about as large as a parcel keep candidates few. The join is an
     equi-join on the cell with an exact ray test. Small parcel sets are broadcast;
     otherwise a crowded cell is spread by salting its pixels.
     """
     box = bounding_box(F.col("polys"))
 
-    def index(value: Column) -> Column:
-        return F.floor(value / F.lit(cell))
-
-    cells = parcels.select("pid", "polys", box.alias("__box")).select(
-        "pid", "polys", "__box",
-        F.explode(F.sequence(index(F.col("__box.lon_min")), index(F.col("__box.lon_max")))).alias("__cx")).select(
-        "pid", "polys", "__cx", "__box",
-        F.explode(F.sequence(index(F.col("__box.lat_min")), index(F.col("__box.lat_max")))).alias("__cy"))
-    keyed = pixels.withColumns({"__cx": index(F.col(lon)), "__cy": index(F.col(lat))})
-    inside = F.col(lon).between(F.col("__box.lon_min"), F.col("__box.lon_max")) & F.col(lat).between(
-        F.col("__box.lat_min"), F.col("__box.lat_max")) & contains(F.col("polys"), F.col(lon), F.col(lat))
-    return scale.skew_join(keyed, cells, ["__cx", "__cy"], "inner", condition=inside).select(*pixels.columns, "pid")
+    def index(value: Column, size: float) -> Column:
+        return F.floor(value / F.lit(size))
+
+    cells = parcels.select("pid", edges(F.col("polys")).alias("__edges"), box.alias("__box")).select(
+        "pid", "__edges", "__box",
+        F.explode(F.sequence(index(F.col("__box.lon_min"), cell[0]), index(F.col("__box.lon_max"), cell[0]))).alias("__cx")).select(
+        "pid", "__edges", "__cx", "__box",
+        F.explode(F.sequence(index(F.col("__box.lat_min"), cell[1]), index(F.col("__box.lat_max"), cell[1]))).alias("__cy"))
+    keyed = pixels.withColumns({"__cx": index(F.col(lon), cell[0]), "__cy": index(F.col(lat), cell[1])})
+    held = F.col(lon).between(F.col("__box.lon_min"), F.col("__box.lon_max")) & F.col(lat).between(
+        F.col("__box.lat_min"), F.col("__box.lat_max")) & inside(F.col("__edges"), F.col(lon), F.col(lat))
+    return scale.skew_join(keyed, cells, ["__cx", "__cy"], "inner", condition=held).select(*pixels.columns, "pid")

@@ -226,14 +226,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def fill_forward(df: DataFrame, keys: list[str], position: str, marks: dict[str, Column], *,
-                 chunk_rows: int = 100_000) -> DataFrame:
+                 chunk_rows: int = 100_000, keep_chunk: bool = False) -> DataFrame:
     """Carry the last non-NULL value of each mark over later rows of the same key.
 
     ``position`` is an integer row number. Rows are cut into chunks of the
     position, so a file of any length is filled by many tasks; one summary row
-    per chunk carries the value across chunk borders.
+    per chunk carries the value across chunk borders. With ``keep_chunk`` a
+    following call finds the rows already partitioned and sorted.
     """
-    chunked = df.withColumn("__chunk", F.floor(F.col(position) / F.lit(chunk_rows)))
+    chunked = df if "__chunk" in df.columns else df.withColumn("__chunk", F.floor(F.col(position) / F.lit(chunk_rows)))
     part = keys + ["__chunk"]
     within = Window.partitionBy(*part).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     summary = chunked.groupBy(*part).agg(*[
@@ -246,4 +247,4 @@ def fill_forward(df: DataFrame, keys: list[str], position: str, marks: dict[str,
                                    for name, mark in marks.items()])
     filled = attach(filled, carried, part)
     filled = filled.withColumns({name: F.coalesce(F.col(name), F.col(f"__{name}")) for name in marks})
-    return filled.drop("__chunk", *[f"__{name}" for name in marks])
+    return filled.drop(*([] if keep_chunk else ["__chunk"]), *[f"__{name}" for name in marks])

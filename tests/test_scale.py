@@ -124,10 +124,10 @@ def test_zonal_join_of_a_crowded_cell(spark, monkeypatch):
     parcels = spark.createDataFrame([("p", square)], "pid string, polys array<array<array<array<double>>>>")
     points = spark.createDataFrame([(i, 0.05 + 0.1 * (i % 12), 0.05 + 0.1 * (i // 12)) for i in range(144)], "id int, lon double, lat double")
     want = [i for i in range(144) if i % 12 < 10 and i // 12 < 10 and not (i % 12 in (4, 5) and i // 12 in (4, 5))]
-    assert sorted(r.id for r in zonal.zonal_join(points, parcels, cell=0.3).collect()) == want
+    assert sorted(r.id for r in zonal.zonal_join(points, parcels, cell=(0.3, 0.3)).collect()) == want
     monkeypatch.setattr(scale, "broadcast_if_small", lambda df, max_bytes=0: (df, False))
     monkeypatch.setattr(scale, "HOT_KEY_ROWS", 3)
-    assert sorted(r.id for r in zonal.zonal_join(points, parcels, cell=0.3).collect()) == want
+    assert sorted(r.id for r in zonal.zonal_join(points, parcels, cell=(0.3, 0.3)).collect()) == want
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
