@@ -562,6 +562,30 @@ ORACLES["dataset_summary"] = """SELECT count(*) AS rows, 3 AS columns, count(DIS
  CAST(min(year(l_shipdate)) AS INT) AS year_min, CAST(max(year(l_shipdate)) AS INT) AS year_max FROM lineitem"""
 
 
+def clean_history(spark, sf):
+    raw = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("Unnamed: 0"), F.col("l_returnflag").alias("Area"), F.col("l_linestatus").alias("Item"), F.date_format("l_shipdate", "yyyy").alias("Year"),
+        F.col("l_quantity").cast("string").alias("hg/ha_yield"), F.col("l_extendedprice").cast("string").alias("average_rain_fall_mm_per_year"),
+        F.col("l_discount").cast("string").alias("pesticides_tonnes"), F.col("l_tax").cast("string").alias("avg_temp"))
+    rows = tables.clean_history(raw)
+    return rounded(rows.groupBy("Area", "Item", "Year").agg(F.sum("hg/ha_yield").alias("yield"), F.avg("avg_temp").alias("temp"), F.count("*").alias("n")), 4)
+
+
+QUERIES["clean_history"] = clean_history
+ORACLES["clean_history"] = rounded_sql("""SELECT l_returnflag AS "Area", l_linestatus AS "Item", CAST(year(l_shipdate) AS INT) AS "Year", sum(l_quantity) AS yield, avg(l_tax) AS temp, count(*) AS n
+ FROM lineitem GROUP BY ALL""", ["yield", "temp"], 4)
+
+
+def best_candidate(spark, sf):
+    """Per crop the field with the lowest error, ties to the smaller key."""
+    rows = seasons(spark, sf).groupBy("crop", "field_key").agg(F.round(F.avg("yield"), -4).alias("mae"))
+    return rows.groupBy("crop").agg(F.min_by("field_key", F.struct("mae", "field_key")).alias("best"), F.min("mae").alias("mae"))
+
+
+QUERIES["best_candidate"] = best_candidate
+ORACLES["best_candidate"] = f"""SELECT crop, arg_min(field_key, (mae, field_key)) AS best, min(mae) AS mae FROM (SELECT crop, field_key, round(avg(yield), -4) AS mae FROM ({SEASONS}) GROUP BY ALL) GROUP BY crop"""
+
+
 def status_counts(spark, sf):
     return tables.status_counts(table(spark, sf, "orders"), {
         "by_status": F.col("o_orderstatus"), "by_priority": F.col("o_orderpriority"), "by_year": F.year("o_orderdate")})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from furrow import scale
 from furrow.bindings.common import rounded, rounded_sql, table
 from furrow.functions import geometry, scalars
-from furrow.operators import harvest, matching, selection, tables
+from furrow.operators import harvest, matching, selection, tables, zonal
 from furrow.sources.readers import parse_feature_lines
 from furrow.streaming import streams
 
@@ -277,6 +277,17 @@ ORACLES["geojson_scan"] = rounded_sql(f"""WITH k AS (SELECT *, round(-119 + (key
    radians(lon) * 6378137 AS x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 AS y FROM c""", ["acres", "lon", "lat", "lon_max", "x", "y"], 3)
 
 
+def bbox_union(spark, sf):
+    parcels = parse_feature_lines(feature_lines(spark, sf)).withColumn("meridian", F.substring("pid", 1, 1))
+    return rounded(zonal.bbox_union(parcels, ["meridian"]), 4)
+
+
+QUERIES["bbox_union"] = bbox_union
+ORACLES["bbox_union"] = rounded_sql(f"""SELECT CASE WHEN sec <= 36 THEN '6' ELSE 'x' END AS meridian, min(round(-119 + (key % 100) * 0.01, 4)::DOUBLE) AS lon_min,
+ min(round(55 + (key % 50) * 0.01, 4)::DOUBLE) AS lat_min, max(round(-119 + (key % 100) * 0.01 + 0.0126, 4)::DOUBLE) AS lon_max, max(round(55 + (key % 50) * 0.01 + 0.0072, 4)::DOUBLE) AS lat_max
+ FROM {LEGAL.format(keys='(SELECT c_custkey AS key FROM customer)')} WHERE key % 17 <> 3 AND key % 13 <> 5 GROUP BY 1""", ["lon_min", "lat_min", "lon_max", "lat_max"], 4)
+
+
 def match_operations(spark, sf):
     parcels = parse_feature_lines(feature_lines(spark, sf))
     key = F.col("o_orderkey")

@@ -122,6 +122,15 @@ def published_yields(rows: DataFrame, regions: list[str], first_year: int = 2015
     ).where((F.col("year") >= first_year) & F.col("regional_yield").isNotNull())
 
 
+def year_window(df: DataFrame, *, before: int | None = None, only: int | None = None, without: int | None = None,
+                year: str = "year") -> DataFrame:
+    """Development, test or leave-out rows by season."""
+    for limit, rule in ((before, F.col(year) < F.lit(before)), (only, F.col(year) == F.lit(only)),
+                        (without, F.col(year) != F.lit(without))):
+        df = df if limit is None else df.where(rule)
+    return df
+
+
 def require_rows(df: DataFrame, message: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)

@@ -120,6 +120,13 @@ def coverage_diagnostics(counts: DataFrame, parcel: str, years: list[int], *, mi
     return wide.withColumn("coverage_eligible_year_count", eligible)
 
 
+def bbox_union(parcels: DataFrame, keys: list[str] = []) -> DataFrame:
+    """The box around all parcels, overall or per key, from each parcel's own box."""
+    boxes = parcels.select(*keys, bounding_box(F.col("polys")).alias("b"))
+    return boxes.groupBy(*keys).agg(F.min("b.lon_min").alias("lon_min"), F.min("b.lat_min").alias("lat_min"),
+                                    F.max("b.lon_max").alias("lon_max"), F.max("b.lat_max").alias("lat_max"))
+
+
 def zonal_join(pixels: DataFrame, parcels: DataFrame, *, lon: str = "lon", lat: str = "lat",
                cell: tuple[float, float] = (0.01, 0.01)) -> DataFrame:
     """Attach each pixel to every parcel whose polygon holds it.

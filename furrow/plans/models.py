@@ -264,6 +264,26 @@ def predict_one_vs_rest(models: dict, df: DataFrame, features: list[str], kind:
     return rows.withColumns({"predicted": best, "confidence": F.array_max(probs)}).drop("features")
 
 
+def save_one_vs_rest(models: dict, manifest: DataFrame, features: list[str], path: str) -> None:
+    """Models and the list of crops they were trained for; an existing folder is refused."""
+    manifest.withColumn("features", F.array(*[F.lit(c) for c in features])).write.mode("errorifexists").parquet(f"{path}/manifest")
+    for crop, model in models.items():
+        model.write().save(f"{path}/models/{crop}")
+
+
+def load_one_vs_rest(spark, path: str) -> tuple[dict, list[str]]:
+    """Saved models of the crops the manifest lists as trained; other folders are ignored."""
+    from pyspark.ml.util import DefaultParamsReader
+    rows = spark.read.parquet(f"{path}/manifest").collect()
+    trained = [r.crop for r in rows if r.status == "trained"]
+    return {crop: DefaultParamsReader.loadParamsInstance(f"{path}/models/{crop}", spark.sparkContext)
+            for crop in trained}, list(rows[0].features)
+
+
+def top_importances(scores: list[tuple[str, float]], n: int = 10) -> list[tuple[str, float]]:
+    return scores[:n]
+
+
 def one_vs_rest_ranked(df: DataFrame, candidates: list[str], label: str, *, group: str, folds_n: int = 5,
                        top_k: int = 20, c: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Per class: the best-correlated features, grouped CV of a balanced logistic model, and its scores."""

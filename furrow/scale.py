@@ -193,8 +193,15 @@ def group_quantiles(df: DataFrame, keys: list[str], specs: dict[str, tuple[Colum
     """
     others = [expr.alias(name) for name, expr in (aggs or {}).items()]
     if largest_group(df, keys) <= max_group:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(p)).alias(name) for name, (value, p) in specs.items()], *others)
+        # Quantiles of one value share a histogram.
+        shared: dict[str, list[str]] = {}
+        for name, (value, _) in specs.items():
+            shared.setdefault(str(value), []).append(name)
+        made = [F.percentile(specs[names[0]][0], F.array(*[F.lit(specs[n][1]) for n in names])).alias(f"__q{i}")
+                for i, names in enumerate(shared.values())]
+        place = {n: F.get(f"__q{i}", F.lit(j)) for i, names in enumerate(shared.values()) for j, n in enumerate(names)}
+        return df.groupBy(*keys).agg(*made, *others).select(
+            *keys, *[place[n].alias(n) for n in specs], *(aggs or {}))
 
     rows = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(name).alias("__name"), F.lit(p).alias("__p"), value.cast("double").alias("__v"))

@@ -304,12 +304,17 @@ def test_classifiers_separate_planted_classes(spark):
         models.cross_validate(df, ["a", "b"], "crop", "decision_tree", folds_n=50, repeats=1)
 
 
-def test_one_vs_rest(spark):
+def test_one_vs_rest(spark, tmp_path):
     df = separable(spark)
     fitted, manifest = models.one_vs_rest(df, ["a", "b"], "crop", "decision_tree", min_fields=2)
     assert {r.status for r in manifest.collect()} == {"trained"}
     scored = models.predict_one_vs_rest(fitted, df, ["a", "b"], "decision_tree")
     assert scored.where("predicted = crop").count() > 200
+    path = str(tmp_path / "ovr")
+    models.save_one_vs_rest(fitted, manifest, ["a", "b"], path)
+    loaded, features = models.load_one_vs_rest(spark, path)
+    again = models.predict_one_vs_rest(loaded, df, features, "decision_tree")
+    assert features == ["a", "b"] and scored.select("pid", "predicted").exceptAll(again.select("pid", "predicted")).isEmpty()
     scores, rows = models.one_vs_rest_ranked(df, ["a", "b"], "crop", group="row_id", folds_n=3, top_k=1)
     assert {r.crop_name for r in scores.collect()} == {"barley", "canola", "wheat"} and rows.count() <= 720
 
