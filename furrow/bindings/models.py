@@ -258,7 +258,30 @@ def grouped_holdout(spark, sf):
     return folds.grouped_holdout(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey")
 
 
+DRAW = "CAST('0x' || substr(md5({key} || ':' || '{seed}'), 1, 15) AS BIGINT)"
 QUERIES["grouped_holdout"] = grouped_holdout
+ORACLES["grouped_holdout"] = f"""WITH g AS (SELECT c_nationkey, row_number() OVER (ORDER BY {DRAW.format(key='c_nationkey', seed=42)}, c_nationkey) AS r, count(*) OVER () AS n
+   FROM (SELECT DISTINCT c_nationkey FROM customer)) SELECT c_custkey, c_nationkey, r <= ceil(0.25 * n) AS is_test FROM customer JOIN g USING (c_nationkey)"""
+
+
+def stratified_folds(spark, sf):
+    return folds.stratified_folds(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 5)
+
+
+QUERIES["stratified_folds"] = stratified_folds
+ORACLES["stratified_folds"] = f"""SELECT c_custkey, c_mktsegment, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY {DRAW.format(key='c_custkey', seed=42)}, c_custkey) - 1) % 5 AS INT) AS fold
+ FROM customer"""
+
+
+def stratified_holdout(spark, sf):
+    return folds.stratified_holdout(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 0.3)
+
+
+QUERIES["stratified_holdout"] = stratified_holdout
+ORACLES["stratified_holdout"] = f"""SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {DRAW.format(key='c_custkey', seed=42)}, c_custkey)
+   <= round(count(*) OVER (PARTITION BY c_mktsegment) * 0.3) AS is_test FROM customer"""
+QUERIES["shuffled_folds"] = lambda spark, sf: folds.shuffled_folds(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5)
+ORACLES["shuffled_folds"] = f"SELECT o_orderkey, CAST({DRAW.format(key='o_orderkey', seed=42)} % 5 AS INT) AS fold FROM orders"
 
 
 def season_evaluation(spark, sf):
@@ -270,7 +293,20 @@ def season_evaluation_regional(spark, sf):
                                         season_features="regional_satellite", regions=region_rows(spark, sf)).metrics
 
 
+def season_variants(spark, sf):
+    """The variants of the evaluation that have a closed form."""
+    return rounded(season_evaluation(spark, sf).where("variant IN ('baseline', 'known_season')"), 3)
+
+
 QUERIES["season_field_evaluation"] = season_evaluation
+QUERIES["season_closed_form_variants"] = season_variants
+ORACLES["season_closed_form_variants"] = rounded_sql("""WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS price FROM lineitem GROUP BY 1),
+ f AS (SELECT o_custkey, c_mktsegment AS crop, year(o_orderdate) AS year, avg(price) AS y FROM orders JOIN l ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+ b AS (SELECT *, (sum(y) OVER c - sum(y) OVER s) / (count(*) OVER c - count(*) OVER s) AS base, (sum(y) OVER s - y) / nullif(count(*) OVER s - 1, 0) AS others FROM f
+   WINDOW c AS (PARTITION BY crop), s AS (PARTITION BY crop, year)),
+ v AS (SELECT crop, year, y, base, 'baseline' AS variant, base AS p FROM b UNION ALL SELECT crop, year, y, base, 'known_season', coalesce(others, base) FROM b)
+ SELECT crop, 'bu/ac' AS yield_unit, variant, count(*) AS field_years, avg(abs(p - y)) AS mae, avg(p - y) AS bias, 1 - avg(abs(p - y)) / avg(abs(base - y)) AS skill,
+   count(DISTINCT year) AS seasons FROM v GROUP BY crop, variant""", ["mae", "bias", "skill"], 3)
 QUERIES["season_field_evaluation_regional"] = season_evaluation_regional
 QUERIES["regional_model_evaluation"] = lambda spark, sf: season.evaluate_regional_models(region_rows(spark, sf))
 

@@ -16,7 +16,9 @@ def spatial_group(pid: str = "pid", prefix: int = 6) -> Column:
 
 
 def _hash(column: str, seed: int) -> Column:
-    return F.xxhash64(F.col(column).cast("string"), F.lit(seed))
+    """A seeded draw per key that any engine can repeat: 60 bits of an MD5 digest."""
+    digest = F.md5(F.concat_ws(":", F.col(column).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def fold_table(df: DataFrame, group: str, folds: int, *, seed: int = 42, stratify: str | None = None) -> DataFrame:
