@@ -265,13 +265,13 @@ ORACLES["scale_within_group"] = rounded_sql(f"""WITH {SCALED} SELECT row_id, l_o
 def redistribute_yield(spark, sf):
     out = groups.redistribute_yield(pixels(spark, sf))
     return rounded(out.select("row_id", "l_orderkey", "ndvi_score", "pixel_yield_factor", "pixel_yield_est_bu_ac",
-                              "field_mean_pixel_yield_est_bu_ac", F.abs(F.round("field_yield_balance_error_bu_ac", 6)).alias("balance")))
+                              "field_mean_pixel_yield_est_bu_ac", F.abs(F.round("field_yield_balance_error_bu_ac", 6)).alias("balance")), 4)
 
 
 QUERIES["redistribute_yield"] = redistribute_yield
 ORACLES["redistribute_yield"] = rounded_sql(f"""WITH {SCALED} SELECT row_id, l_orderkey, score AS ndvi_score, factor AS pixel_yield_factor, y * factor AS pixel_yield_est_bu_ac,
  avg(y * factor) OVER (PARTITION BY row_id) AS field_mean_pixel_yield_est_bu_ac, abs(round(avg(y * factor) OVER (PARTITION BY row_id) - y, 6)) AS balance FROM e""",
-    ["ndvi_score", "pixel_yield_factor", "pixel_yield_est_bu_ac", "field_mean_pixel_yield_est_bu_ac", "balance"])
+    ["ndvi_score", "pixel_yield_factor", "pixel_yield_est_bu_ac", "field_mean_pixel_yield_est_bu_ac", "balance"], 4)
 
 
 def pixel_summary(spark, sf):

@@ -120,7 +120,7 @@ def report_rows(spark, sf):
     heading = F.concat(F.lit("Field "), F.col("o_custkey"), F.when(F.col("o_custkey") % 4 != 0, F.concat(F.lit(" "), description(F.col("o_custkey")))).otherwise(""))
     blank = F.lit("")
     area = F.format_string("%d.50 ac", key % 300 + 1)
-    rate = F.round(F.col("o_totalprice") / 1000, 2)
+    rate = F.floor(F.col("o_totalprice") / 10) / 100
     wrong = F.when(key % 10 == 3, F.lit(1.5)).otherwise(F.lit(1.0))
     total = (key % 300 + 1.5) * rate * wrong
     unit = F.when(key % 7 == 0, "lb").otherwise("bu")
@@ -147,7 +147,7 @@ def report_rows(spark, sf):
 REPORT = """SELECT *, 'Field ' || o_custkey || CASE WHEN o_custkey % 4 <> 0 THEN ' ' || desc_text ELSE '' END AS heading, CASE WHEN o_custkey % 4 <> 0 THEN desc_text ELSE '' END AS legal,
    sum(1 + 1 + (o_orderkey % 6 = 1)::INT + (o_orderkey % 5 = 2)::INT + (o_orderkey % 11 = 4)::INT) OVER (PARTITION BY y ORDER BY o_custkey, o_orderkey ROWS UNBOUNDED PRECEDING)
      - (o_orderkey % 6 = 1)::INT - (o_orderkey % 5 = 2)::INT - (o_orderkey % 11 = 4)::INT AS source_row
- FROM (SELECT *, year(o_orderdate) AS y, o_orderkey % 300 + 1.5 AS area, round(o_totalprice / 1000, 2) AS rate,
+ FROM (SELECT *, year(o_orderdate) AS y, o_orderkey % 300 + 1.5 AS area, floor(o_totalprice / 10) / 100 AS rate,
    CASE WHEN o_orderkey % 7 = 0 THEN 'lb' ELSE 'bu' END AS u,
    CASE o_orderkey % 5 WHEN 0 THEN 'barley' WHEN 1 THEN 'canola' WHEN 2 THEN 'faba_beans' WHEN 3 THEN NULL ELSE 'wheat' END AS crop,
    CASE o_orderkey % 5 WHEN 0 THEN 'Barley' WHEN 1 THEN 'canola L233' WHEN 2 THEN 'Faba Beans' WHEN 3 THEN 'mystery' ELSE 'Wheat Stettler' END AS crop_raw,
