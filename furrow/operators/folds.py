@@ -125,7 +125,7 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Balanced weights: rows / (classes × rows of the class)."""
     counts = scale.cut_lineage(df.groupBy(label).agg(F.count("*").alias("__n")))
     totals = counts.agg(F.sum("__n").alias("__rows"), F.count("*").alias("__k"))
-    weights = counts.crossJoin(F.broadcast(totals)).select(
+    weights = scale.attach(counts, totals, []).select(
         label, (F.col("__rows") / (F.col("__k") * F.col("__n"))).alias(name))
     return scale.attach(df, weights, [label])
 
@@ -134,7 +134,7 @@ def training_mean(df: DataFrame, keys: list[str], fold: str, value: str, name: s
     """Mean of the other folds for every row: (all − own fold) / (n − own n), from one aggregate."""
     sums = scale.cut_lineage(df.groupBy(*keys, fold).agg(F.sum(value).alias("__s"), F.count(value).alias("__n")))
     totals = sums.groupBy(*keys).agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn"))
-    means = scale.attach(sums, totals, keys) if keys else sums.crossJoin(F.broadcast(totals))
+    means = scale.attach(sums, totals, keys)
     means = means.select(*keys, fold, F.try_divide(F.col("__ts") - F.col("__s"), F.col("__tn") - F.col("__n")).alias(name))
     return scale.attach(df, means, [*keys, fold])
 

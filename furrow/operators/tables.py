@@ -27,8 +27,8 @@ def concat_dedupe(parts: list[DataFrame], keys: list[str], order: list[Column])
 def batch_ranges(df: DataFrame, order: list[Column], batches: int, assignees: list[str], *,
                  max_group: int = scale.MAX_GROUP_ROWS) -> DataFrame:
     """Contiguous, near-equal batches in source order, with a round-robin assignee."""
-    rows = scale.ranked(df, [], order, "__rank", max_group=max_group).crossJoin(
-        F.broadcast(df.agg(F.count("*").alias("__total"))))
+    rows = scale.attach(scale.ranked(df, [], order, "__rank", max_group=max_group),
+                        df.agg(F.count("*").alias("__total")), [])
     number = F.floor((F.col("__rank") * batches - 1) / F.col("__total"))
     names = F.array(*[F.lit(a) for a in assignees])
     return rows.withColumns({

@@ -53,14 +53,15 @@ def moments(df: DataFrame, keys: list[str], features: list[str], label: str) ->
         full = F.array(*[F.col(f"m{min(i, j)}_{max(i, j)}") for i in range(width) for j in range(width)])
         return sums.select(*keys, full.alias("moments"))
 
+    if not keys:
+        return moments(df.withColumn("__one", F.lit(0)), ["__one"], features, label).drop("__one")
     key_fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    schema = (key_fields + ", " if keys else "") + "__slot int, moments array<double>"
+    schema = key_fields + ", __slot int, moments array<double>"
 
     def partial(batches):
         total: dict = {}
         for batch in batches:
-            groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
-            for key, part in groups:
+            for key, part in batch.groupby(keys, dropna=False, sort=False):
                 z = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float)])
                 key = key if isinstance(key, tuple) else (key,)
                 total[key] = total.get(key, 0.0) + z.T @ z
@@ -77,8 +78,7 @@ def moments(df: DataFrame, keys: list[str], features: list[str], label: str) ->
     # Partial sums meet in two steps, so no task holds one row per input partition.
     parts = rows.mapInPandas(partial, schema)
     halfway = parts.groupBy(*keys, "__slot").applyInPandas(add, schema)
-    return halfway.groupBy(*keys).applyInPandas(add, schema).drop("__slot") if keys else \
-        halfway.groupBy(F.lit(0)).applyInPandas(add, schema).drop("__slot")
+    return halfway.groupBy(*keys).applyInPandas(add, schema).drop("__slot")
 
 
 def centred_moments(flat, p: int):
@@ -140,8 +140,7 @@ def linear_value(features: list[str], intercept: str = "intercept", coef: str =
 
 
 def predict_linear(df: DataFrame, params: DataFrame, keys: list[str], features: list[str], name: str) -> DataFrame:
-    out = scale.attach(df, params.select(*keys, "intercept", "coef"), keys) if keys else df.crossJoin(
-        F.broadcast(params.select("intercept", "coef").limit(1)))
+    out = scale.attach(df, params.select(*keys, "intercept", "coef"), keys)
     return out.withColumn(name, linear_value(features)).drop("intercept", "coef")
 
 
@@ -207,6 +206,8 @@ def season_ridge(df: DataFrame, keys: list[str], features: list[str], label: str
     Training moments of a fold are total less year, so every (penalty, year) fit
     comes from one aggregate. Under three years the largest penalty is used.
     """
+    if not keys:
+        return season_ridge(df.withColumn("__one", F.lit(0)), ["__one"], features, label, year, alphas, min_years).drop("__one")
     p = len(features)
     by_year = scale.cut_lineage(moments(df, keys + [year], features, label))
     fields = "".join(f"`{k}` {by_year.schema[k].dataType.simpleString()}, " for k in keys + [year])
@@ -228,9 +229,8 @@ def season_ridge(df: DataFrame, keys: list[str], features: list[str], label: str
         out["years"] = len(part)
         return out
 
-    group = keys or [F.lit(0)]
-    fits = by_year.groupBy(*group).applyInPandas(fold_fits, fields + "alpha double, intercept double, coef array<double>")
-    totals = scale.cut_lineage(by_year.groupBy(*group).applyInPandas(
+    fits = by_year.groupBy(*keys).applyInPandas(fold_fits, fields + "alpha double, intercept double, coef array<double>")
+    totals = scale.cut_lineage(by_year.groupBy(*keys).applyInPandas(
         total_moments, total_fields + "moments array<double>, years int"))
     folded = fits.groupBy(*keys, year).agg(F.collect_list(F.struct("alpha", "intercept", "coef")).alias("__fits"))
     scored = scale.attach(scale.complete(df, [*features, label]), folded, keys + [year]).select(
@@ -239,7 +239,7 @@ def season_ridge(df: DataFrame, keys: list[str], features: list[str], label: str
     # Rounded so that penalties with equal error tie, and the smaller wins, whatever the summation order.
     means = scored.groupBy(*keys, "alpha").agg(F.round(F.avg(error), 12).alias("__e"))
     best = means.groupBy(*keys).agg(F.min_by("alpha", F.struct("__e", "alpha")).alias("__best"))
-    chosen = scale.attach(totals, best, keys) if keys else totals.crossJoin(F.broadcast(best))
+    chosen = scale.attach(totals, best, keys)
     chosen = chosen.where(F.col("years") >= min_years).withColumn("__alpha_used", F.when(
         (F.col("years") >= 3) & F.col("__best").isNotNull(), F.col("__best")).otherwise(F.lit(alphas[-1])))
     return fit_linear(chosen, keys, p, "__alpha_used")

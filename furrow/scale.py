@@ -126,8 +126,11 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left",
 
     ``stats`` is written to the checkpoint folder once, so chained statistics do
     not recompute each other; then see ``skew_join``. A caller that has already
-    checked a bound on the size passes ``small``.
+    checked a bound on the size passes ``small``. Without keys the one row becomes constants.
     """
+    if not keys:
+        row = stats.first()
+        return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in stats.schema.fields})
     if small is None:
         stats = cut_lineage(stats)
     return skew_join(df, stats, keys, how, small=small, max_bytes=max_bytes, hot_rows=hot_rows)

@@ -329,3 +329,11 @@ def test_one_hot(spark):
     df = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "k string")
     out, names = models.one_hot(df, ["k"])
     assert [r[0].toArray()[:2].tolist() for r in out.select(names[0]).collect()] == [[1, 0], [1, 0], [0, 1], [1, 0]]
+
+
+def test_season_ridge_without_keys(spark):
+    df = spark.createDataFrame([(2000 + i % 4, float(i), 1.0 + 2 * i + (i % 3)) for i in range(40)], "year int, x double, y double")
+    fit = linear.season_ridge(df, [], ["x"], "y")
+    assert fit.count() == 1
+    error = linear.predict_linear(df, fit, [], ["x"], "p").agg(F.avg(F.abs(F.col("p") - F.col("y")))).first()[0]
+    assert fit.first().alpha == 0.1 and error < 1.0
