@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,8 @@ def one_row_per_document(docs: DataFrame) -> DataFrame:
     """(id, text): rows that repeat a doc_id count as one document, with the smallest text that isn't null; no id sorts first."""
     return docs.select(key_of("doc_id").alias("id"), F.col("text").cast("string").alias("text")) \
         .groupBy("id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once although use names it often or inside a lambda."""
+    return F.transform(F.array(value), use)[0]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from furrow.llm import substring_dedup
+from furrow.llm import chat_format, decontamination, quality_rules, simhash_dedup, substring_dedup
 
-MODULES = [substring_dedup]
+MODULES = [substring_dedup, simhash_dedup, quality_rules, decontamination, chat_format]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
