@@ -24,18 +24,34 @@ def id_of(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame with its lineage cut: its rows are written to the folder in spark.checkpoint.dir, which all executors share."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, on a local master, a new one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="furrow-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame with its lineage cut by a reliable checkpoint."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A document's id or, without one, a number from its text that is above any id in use."""
+    other = F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col(doc_id).cast("long"), other)
+
+
 def one_row_per_document(docs: DataFrame) -> DataFrame:
     """(id, text): rows that repeat a doc_id count as one document, with the smallest text that isn't null; no id sorts first."""
     return docs.select(key_of("doc_id").alias("id"), F.col("text").cast("string").alias("text")) \
@@ -45,3 +61,8 @@ def one_row_per_document(docs: DataFrame) -> DataFrame:
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once although use names it often or inside a lambda."""
     return F.transform(F.array(value), use)[0]
+
+
+def fold(column: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from furrow.llm import chat_format, decontamination, quality_rules, simhash_dedup, substring_dedup
+from furrow.llm import (
+    chat_format, decontamination, html_text, language_id, lm_scoring, quality_rules, simhash_dedup, source_mix, substring_dedup, toxicity,
+)
 
-MODULES = [substring_dedup, simhash_dedup, quality_rules, decontamination, chat_format]
+MODULES = [substring_dedup, simhash_dedup, quality_rules, decontamination, html_text, source_mix, lm_scoring, language_id, toxicity, chat_format]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

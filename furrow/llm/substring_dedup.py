@@ -187,7 +187,7 @@ def _kept_rows(window: int, with_text: bool):
                     words = text.as_py().encode().split()
                     gone = _mark(len(words), zip(starts[i].as_py() or (), repeats[i].as_py() or ()), part.column(4)[i].as_py(), window)
                     kept = b" ".join(words if not gone.any() else [w for w, g in zip(words, gone.tolist()) if not g])
-                    for column, value in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)):
+                    for column, value in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode() if gone.any() else text.as_py()) if with_text else None)):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()),
                                                   *([pa.array(out[3], pa.string())] if with_text else [])],
@@ -198,7 +198,7 @@ def _kept_rows(window: int, with_text: bool):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS, with_text: bool = False) -> DataFrame:
     """Mark the words covered by a window of `window` words that also starts earlier (smaller doc_id, or earlier in the document).
 
-    Per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space). A null or
+    Per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the text itself where nothing is removed, else kept words joined by one space). A null or
     empty text has no words; a text of under `window` words keeps all. Rows that repeat a doc_id count as one document with the
     smallest text; no doc_id sorts first. Other columns are ignored. Words are told apart by 64-bit hashes, window by window.
     """
