@@ -212,7 +212,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score_rows(shared, total: int, distinct: int):
-    names = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "mark": pa.int64()}
+    names = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "mark": pa.int64()}
 
     def rows(texts: pa.Table, known: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
@@ -223,6 +223,7 @@ def _score_rows(shared, total: int, distinct: int):
         smooth = np.log10(total + ALPHA * (distinct + 1))
         model: Filter = shared.value
         out: list[list[np.ndarray]] = [[] for _ in names]
+        keys: list[pa.RecordBatch] = []
         for batch, data, bounds in slices(iter(texts.to_batches())):
             tokens, first = _tokens(data, bounds)
             at = np.searchsorted(words, tokens)
@@ -236,10 +237,12 @@ def _score_rows(shared, total: int, distinct: int):
             seen = np.where(before[mine] > 0, np.minimum(pairs, before[mine]) / np.maximum(before[mine], 1), 0.0)
             value = np.zeros(len(tokens))
             value[mine] = np.log10((1 - UNIGRAM_SHARE) * seen + np.where(before[mine] > 0, UNIGRAM_SHARE, 1.0) * 10 ** base[mine])
-            for column, v in zip(out, (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.diff(first),
-                                       sums_by_text(count > 0, first), np.add.reduceat(base, first[:-1]), np.add.reduceat(value, first[:-1]), np.add.reduceat(bigrams, first[:-1]).view(np.int64))):
+            keys.append(batch.select([0, 1]))
+            for column, v in zip(out, (np.diff(first), sums_by_text(count > 0, first), np.add.reduceat(base, first[:-1]), np.add.reduceat(value, first[:-1]), np.add.reduceat(bigrams, first[:-1]).view(np.int64))):
                 column.append(v)
-        return pa.table({name: pa.array(np.concatenate(v) if v else [], kind) for (name, kind), v in zip(names.items(), out)})
+        found = pa.table({name: pa.array(np.concatenate(v) if v else [], kind) for (name, kind), v in zip(names.items(), out)})
+        told = pa.Table.from_batches(keys, texts.schema.empty_table().select([0, 1]).schema)
+        return pa.table({name: table.column(name) for table in (told, found) for name in table.column_names})
     return rows
 
 

@@ -22,14 +22,15 @@ from furrow.llm.frames import fold, table
 from furrow.llm.words import LOWER, byte_sums, mix, powers, slices, sums_by_text, words_of
 
 #: About so many labelled documents of each label are learned from, whole; chosen by a hash of the id, never over twice as many.
-SAMPLE = {0: 1_600, 1: 800}
+SAMPLE = {0: 8_000, 1: 2_000}
 BUCKET_BITS = 18
 SIZES = (3, 4, 5)
-DIMENSIONS = 8
-STEPS = 60
-#: Words in fewer sampled texts than this count in a text's mean but teach nothing: they could only learn their text by heart.
-LEAST_TEXTS = 2
-RATE = 0.1
+DIMENSIONS = 4
+STEPS = 150
+#: Words in under two sampled texts, or one in so many of them, count in a text's mean but teach nothing: they would only learn
+#: their texts by heart.
+ONE_TEXT_IN = 2_000
+RATE = 0.3
 DECAY = 1e-3
 #: Texts have few toxic words, so means are scaled up before the map; the map could learn the same, more slowly.
 GAIN = 30.0
@@ -65,7 +66,7 @@ def _mean(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, calm_weight: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """A number for each bucket and a bias: log-odds of label 1 are the mean over words of the mean over n-grams, plus the bias.
 
-    Every fifth text is kept out of the fit; the bias is then moved to where these are told apart best by F1, a
+    Every fifth text is kept out of the fit. Of the steps, that which ranks these best (area under the curve) is taken; the bias is then moved to where these are told apart best by F1, a
     text of label 0 standing for calm_weight of them.
     """
     known: dict[bytes, int] = {}
@@ -78,7 +79,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, calm_weight:
         return np.zeros(1 << BUCKET_BITS), float(np.log(p / (1 - p)))
     shares = [b[1] / max(b[1].sum(), 1) for b in bags]
     texts_of = np.bincount(np.concatenate([b[0] for b in bags]), minlength=len(known))
-    often = np.flatnonzero(texts_of >= LEAST_TEXTS) if (texts_of >= LEAST_TEXTS).any() else np.arange(len(known))
+    often = np.flatnonzero(texts_of >= min(max(2, len(texts) / ONE_TEXT_IN), texts_of.max()))
     number = np.full(len(known), -1)
     number[often] = np.arange(len(often))
     bags = [(number[b[0]][number[b[0]] >= 0], share[number[b[0]] >= 0]) for b, share in zip(bags, shares)]
@@ -94,6 +95,9 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, calm_weight:
     word = np.concatenate([b[0] for b in bags])
     share = np.concatenate([b[1] for b in bags]).astype(np.float32) * np.float32(GAIN)
     by_word = np.argsort(word, kind="stable")
+    doc_by_word, share_by_word, word_starts = doc[by_word], share[by_word][:, None], np.searchsorted(word[by_word], np.arange(len(known)))
+    some = np.unique(doc)
+    doc_starts = np.searchsorted(doc, some)
     fits = np.arange(len(texts)) % 5 != 4 if len(texts) >= 50 else np.ones(len(texts), dtype=bool)
 
     rng = np.random.default_rng(seed)
@@ -109,30 +113,43 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, calm_weight:
         return np.stack([np.bincount(at, weights=values[:, d], minlength=n) for d in range(values.shape[1])], axis=1).astype(np.float32)
 
     def means() -> np.ndarray:
-        of_words = _mean(vectors[bucket], first)
-        return spread(of_words[word] * share[:, None], doc, len(bags))
+        out = np.zeros((len(bags), DIMENSIONS), dtype=np.float32)
+        rows = _mean(vectors[bucket], first)[word]
+        rows *= share[:, None]
+        out[some] = np.add.reduceat(rows, doc_starts, axis=0)
+        return out
+    judged = ~fits if (~fits & (toxic == 1)).any() and (~fits & (toxic == 0)).any() else fits
+    best_area, log_odds, numbers = -1.0, np.zeros(len(texts)), np.zeros(1 << BUCKET_BITS)
+
+    def area(values: np.ndarray) -> float:
+        calm, rude = np.sort(values[toxic[judged] == 0]), values[toxic[judged] == 1]
+        below = np.searchsorted(calm, rude) + np.searchsorted(calm, rude, side="right")
+        return below.sum() / max(1, 2 * len(calm) * len(rude))
     for step in range(1, steps + 1):
         mean = means()
         logits = mean @ linear + offset
         odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-        wrong = (odds / odds.sum(axis=1, keepdims=True) - target) * weight[:, None]
-        to_doc = wrong @ linear.T
-        to_word = spread((to_doc[doc] * share[:, None])[by_word], word[by_word], len(known)) / per_word[:, None]
+        odds /= odds.sum(axis=1, keepdims=True)
+        apart = linear[:, 1] - linear[:, 0]
+        reached = area((mean @ apart)[judged])
+        if reached >= best_area:
+            best_area, log_odds, numbers = reached, mean @ apart, (vectors @ apart).astype(np.float64) * GAIN
+        wrong = (odds - target) * weight[:, None]
+        rows = (wrong @ linear.T)[doc_by_word]
+        rows *= share_by_word
+        to_word = np.add.reduceat(rows, word_starts, axis=0) / per_word[:, None]
         grads = (spread(to_word[owner], bucket, len(vectors)) + DECAY * vectors / len(texts), mean.T @ wrong, wrong.sum(axis=0))
         for (p, m, v), g in zip(state, grads):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    apart = linear[:, 1] - linear[:, 0]
-    log_odds = means() @ apart
-    judged = ~fits if (~fits & (toxic == 1)).any() and (~fits & (toxic == 0)).any() else fits
     cuts = np.sort(np.unique(log_odds[judged]))
     cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
     positives = (toxic[judged] == 1).sum()
     weigh = np.where(toxic[judged] == 1, 1.0, calm_weight)
     f1 = [2 * (toxic[judged][log_odds[judged] >= c] == 1).sum() / max(1, positives + weigh[log_odds[judged] >= c].sum()) for c in cuts]
     best = np.flatnonzero(np.array(f1) == max(f1))
-    return (vectors @ apart).astype(np.float64) * GAIN, -float(cuts[best[len(best) // 2]])
+    return numbers, -float(cuts[best[len(best) // 2]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None, steps: int = STEPS) -> tuple[np.ndarray, float]:

@@ -70,7 +70,7 @@ def test_odd_rows(spark):
 
 
 def test_held_out_labels(spark, sf):
-    rows = op9_toxicity(spark, sf.replace("sf0.001", "sf0.01")).join(table(spark, sf.replace("sf0.001", "sf0.01"), "labels"), "doc_id").collect()
+    rows = op9_toxicity(spark, sf.replace("sf0.001", "sf0.1")).join(table(spark, sf.replace("sf0.001", "sf0.1"), "labels"), "doc_id").collect()
     held = [(r.predicted, r.toxic, r.score) for r in rows if r.held_out]
     calm, rude = [s for _, t, s in held if t == 0], [s for _, t, s in held if t == 1]
-    assert len(rude) >= 3 and np.mean([[a > b for b in calm] for a in rude]) > 0.9
+    assert len(rude) >= 30 and np.mean([[a > b for b in calm] for a in rude]) > 0.8
