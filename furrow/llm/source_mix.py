@@ -44,7 +44,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent
         .withColumn("full", F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
         .withColumn("open", F.sum("weight").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing))) \
         .withColumn("level", (F.col("wanted") - F.col("full")) / F.col("open")) \
-        .withColumn("level", F.coalesce(F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everyone), F.max("full_at").over(everyone)))
+        .withColumn("level", F.coalesce(F.min_by("level", F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "place"))).over(everyone), F.max("full_at").over(everyone)))
     return weighed.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))) \
         .select("source", "source_size", "place", "target", F.floor(F.col("target") + 0.5).cast("long").alias("budget"))
 
@@ -88,7 +88,7 @@ WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coales
      l AS (SELECT *, cap / weight AS full_at, 150 * sum(source_size) OVER () / 100 AS wanted FROM c),
      v AS (SELECT *, (wanted - coalesce(sum(cap) OVER (ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                      / sum(weight) OVER (ORDER BY full_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
-     g AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(min(level) FILTER (level <= full_at) OVER (), max(full_at) OVER ()) * weight) AS target FROM v),
+     g AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM v WHERE level <= full_at ORDER BY full_at, place LIMIT 1), max(full_at) OVER ()) * weight) AS target FROM v),
      o AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS budget,
                   coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS ahead
            FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)

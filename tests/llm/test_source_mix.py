@@ -60,8 +60,8 @@ def test_against_brute_force(spark, range_rows):
     assert all(abs(given[s] - target[s]) <= 0.5 for s in given)
 
 
-def test_targets_stop_at_caps(spark):
-    sizes = {"a": 10, "b": 1000, "c": 0, "d": 500, None: 3}
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 0, "d": 500, None: 3}, {f"s{k:02}": 100 + 17 * k % 60 for k in range(20)} | {"s00": 1500}, {"a": 5, "b": 5}, {f"{k}": 3 ** k for k in range(12)}])
+def test_targets_stop_at_caps(spark, sizes):
     got = {r.source: r.target for r in targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
     want = filled(sizes)
     assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes)
