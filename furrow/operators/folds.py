@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow import scale
 
-# Groups placed one by one on the driver; smaller groups beyond these go by hash.
+# A group with more than this part of all rows is large. There are fewer large groups than this number, whatever the size.
 MAX_PLACED_GROUPS = 20_000
 
 
@@ -24,25 +24,31 @@ def _hash(column: str, seed: int) -> Column:
 def fold_table(df: DataFrame, group: str, folds: int, *, seed: int = 42, stratify: str | None = None) -> DataFrame:
     """(group, fold): whole groups spread so folds, and classes within folds, stay even.
 
-    Only group histograms are looked at. Groups are placed largest first, each in
-    the fold where it leaves row counts (or class counts) most even.
+    Only group histograms are looked at. Large groups are placed largest first, each in the fold where it leaves row
+    counts (or class counts) most even. All others are dealt out within their main class: in the order of a draw, each
+    goes to the fold that its place in the running row count falls in, so every fold gets the same share of a class.
     """
     if stratify:
         counts = df.groupBy(group, stratify).agg(F.count("*").alias("n")).groupBy(group).agg(
             F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct(F.col(stratify).cast("string"), "n")))
-            .alias("classes"))
+            .alias("classes"), F.max_by(F.col(stratify).cast("string"), F.struct("n", F.col(stratify).cast("string"))).alias("__class"))
     else:
-        counts = df.groupBy(group).agg(F.count("*").alias("rows"), F.lit(None).cast("map<string,bigint>").alias("classes"))
+        counts = df.groupBy(group).agg(F.count("*").alias("rows"), F.lit(None).cast("map<string,bigint>").alias("classes"),
+                                       F.lit(None).cast("string").alias("__class"))
     counts = scale.cut_lineage(counts.withColumn("draw", _hash(group, seed)))
-    head = counts.orderBy(F.desc("rows"), "draw", group).limit(MAX_PLACED_GROUPS).collect()
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    large = F.col("rows") * MAX_PLACED_GROUPS > total
+    head = counts.where(large).orderBy(F.desc("rows"), "draw", group).collect()
     spark = df.sparkSession
     placed = spark.createDataFrame([(row[group], fold) for row, fold in zip(head, _place(head, folds))],
                                    f"`{group}` {counts.schema[group].dataType.simpleString()}, fold int")
-    if len(head) < MAX_PLACED_GROUPS:
+    small = counts.where(~large).withColumn("__class", F.coalesce("__class", F.lit("")))
+    if small.isEmpty():
         return placed
-    tail = counts.join(F.broadcast(placed), group, "left_anti").select(
-        group, F.pmod("draw", F.lit(folds)).cast("int").alias("fold"))
-    return placed.unionByName(tail)
+    tail = scale.prefix_sums(small, ["__class"], [F.col("draw"), F.col(group)], {"__to": F.col("rows")})
+    tail = scale.with_group_stats(tail, ["__class"], {"__all": F.sum("rows")})
+    dealt = tail.select(group, F.floor((F.col("__to") - F.col("rows") / 2) * folds / F.col("__all")).cast("int").alias("fold"))
+    return placed.unionByName(dealt)
 
 
 def _place(groups, folds: int) -> list[int]:
