@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow import scale
-from furrow.columns import FEATURE_BANDS, MONTHS, field_year_columns, weather_columns
+from furrow.columns import (
+    FEATURE_BANDS, FIELD_YEAR_FEATURES, FIELD_YEAR_IDS, MONTHS, SEASON_WEATHER_COLUMNS, weather_columns,
+)
 from furrow.operators.composites import season_weather_totals
 from furrow.operators.harvest import TOTAL_UNITS
 
@@ -45,9 +47,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.col("dst").alias("src"), F.col("__m").alias("dst")).where("src <> dst")
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         lowest = scale.attach(down, minima(down), ["src"], small=small)
-        small = lowest.select(F.explode(F.array("src", "dst")).alias("src"), F.col("__m").alias("dst")).where(
+        lowered = lowest.select(F.explode(F.array("src", "dst")).alias("src"), F.col("__m").alias("dst")).where(
             "src <> dst").distinct()
-        pairs = scale.cut_lineage(small)
+        pairs = scale.cut_lineage(lowered)
         now = tuple(signature(pairs))
         if now == last:
             break
@@ -150,4 +152,4 @@ def field_year_table(matches: DataFrame, operations: DataFrame, features: DataFr
            for m in MONTHS.values() for b in FEATURE_BANDS}})
     if weather is not None:
         out = season_weather_totals(out)
-    return out.select(*field_year_columns(weather is not None)), dropped
+    return out.select(*FIELD_YEAR_IDS, *FIELD_YEAR_FEATURES, *(weather_columns() + SEASON_WEATHER_COLUMNS if weather is not None else [])), dropped

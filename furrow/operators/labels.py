@@ -91,10 +91,10 @@ def feature_units(matches: DataFrame, parcels: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("operation_id")).alias("operation_ids")))
     clash = units.where(~F.col("__one")).select("pid", "year").first()
     if clash:
-        raise ValueError(f"{clash.pid} {clash.year} has several eligible crops")
+        raise ValueError(f"{clash.pid}: more than one crop to use in {clash.year}")
     lost = units.join(parcels, "pid", "left_anti").select("pid").first()
     if lost:
-        raise ValueError(f"{lost.pid} is eligible but has no boundary")
+        raise ValueError(f"{lost.pid}: no polygon for a parcel to use")
     return units.drop("__one").join(parcels.select("pid", "polys"), "pid")
 
 

@@ -107,7 +107,7 @@ def holdout_with_margin(table: DataFrame, *, test_year: int, min_rows: int = 10,
     baseline stays unless a model's error is below (1 − margin) times its own.
     """
     if not 0 <= min_improvement < 1:
-        raise ValueError("min_improvement must be in [0, 1).")
+        raise ValueError("min_improvement is a share from 0 to below 1")
     rows = scale.cut_lineage(min_group_size(table, CROP, min_rows))
     status = scale.cut_lineage(rows.groupBy(*CROP).agg(
         F.count_if(F.col("year") < test_year).alias("dev_field_years"),
@@ -168,7 +168,7 @@ def pixel_yield_cv(df: DataFrame, *, feature_set: str = "nonleaky", alpha: float
         constant = year_constant_columns(df, features)
         features = [c for c in features if c not in constant]
         if not features:
-            raise ValueError(f"Every {feature_set!r} feature is constant within each year.")
+            raise ValueError(f"no column of {feature_set!r} varies within a year")
     by = "year" if split == "year" else group
     slim = df.select(crop, group, "year", "quarter_section", F.col(target).cast("double").alias("__y"),
                      *[F.col(c).cast("double").alias(f"f_{i}") for i, c in enumerate(features)])

@@ -35,10 +35,10 @@ def fit_bundle(table: DataFrame, regions: DataFrame, *, test_year: int, min_impr
                min_rows: int = 10) -> Bundle:
     """Per crop, keep the model only if it clears the margin on held-out seasons; refit on all of them."""
     if not 0 <= min_improvement < 1:
-        raise ValueError("min_improvement must be in [0, 1).")
+        raise ValueError("min_improvement is a share from 0 to below 1")
     years = [y for y in season.season_list(table) if y < test_year]
     if len(years) < 3:
-        raise ValueError(f"Need at least three development years before {test_year}; found {years}.")
+        raise ValueError(f"only {len(years)} seasons before {test_year} to choose a model on, not 3: {years}")
     regions = regions.where(F.col("year") < test_year)
     selection = season.evaluate_season_field(
         table, years=tuple(years), min_rows=min_rows, deviation_features=DEVIATION, season_features=OPTION,
@@ -101,9 +101,9 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     crops = spark.read.parquet(f"{path}/crops")
     if table_digest(crops) != manifest.pop("model_digest"):
-        raise ValueError(f"{path} does not match its manifest; it changed after saving.")
+        raise ValueError(f"{path}: the crops table is not the one that was saved")
     if manifest["schema_version"] != SCHEMA_VERSION:
-        raise ValueError(f"Unsupported bundle schema {manifest['schema_version']}.")
+        raise ValueError(f"{path}: written with layout {manifest['schema_version']}, this is {SCHEMA_VERSION}")
     return Bundle(crops, manifest)
 
 

@@ -225,7 +225,7 @@ def feature_scores(model, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, map(float, values)), key=lambda pair: (-pair[1], pair[0]))
 
 
-def one_vs_rest(df: DataFrame, features: list[str], label: str, kind: str, *, pid: str = "pid", min_fields: int = 2,
+def one_vs_rest(df: DataFrame, features: list[str], label: str, kind: str, *, pid: str = "pid", min_fields: int = 10,
                 **options) -> tuple[dict[str, PipelineModel], DataFrame]:
     """A model per class against the rest, and a manifest of trained and skipped classes."""
     counts = {r[label]: r["fields"] for r in metrics.class_field_counts(df.where(F.col(label).isNotNull()), label, pid).collect()}
@@ -285,7 +285,7 @@ def top_importances(scores: list[tuple[str, float]], n: int = 10) -> list[tuple[
 
 
 def one_vs_rest_ranked(df: DataFrame, candidates: list[str], label: str, *, group: str, folds_n: int = 5,
-                       top_k: int = 20, c: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                       top_k: int = 32, c: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Per class: the best-correlated features, grouped CV of a balanced logistic model, and its scores."""
     classes = class_list(df, label)
     chosen: dict[str, list[str]] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow import scale
 from furrow.columns import (
-    HISTORY_FEATURE, SEASON_OPTIONS, deviation_feature_columns, option_columns, option_months, option_sensor,
+    HISTORY_FEATURE, SEASON_OPTION_ROWS, SEASON_OPTIONS, deviation_feature_columns, option_columns, season_readings_of,
     quarter_column, season_feature_columns,
 )
 from furrow.operators import groups
@@ -40,7 +40,7 @@ def region_table(yields: DataFrame, monthly_features: list[DataFrame], option: s
     for i, features in enumerate(monthly_features):
         out = out.join(features if i == 0 else features.drop("pixels"), keys)
     out = scale.complete(out, ["regional_yield", *[c for c in out.columns if c.startswith("field_")]])
-    if option and option_sensor(option) == "landsat":
+    if option and any(sensor == "landsat" for _, sensor in season_readings_of(option)):
         out = drop_low_coverage(out, LANDSAT_MIN_SHARE)
     return out
 
@@ -63,7 +63,7 @@ def regional_models(table: DataFrame, features: str | list[str], scope: tuple[st
     scope = list(scope)
     by_columns: dict[tuple[str, ...], list[str]] = {}
     if isinstance(features, str):
-        special = [c for c in SEASON_OPTIONS[features] if c != "*"]
+        special = list(dict.fromkeys(crop for option, crop, *_ in SEASON_OPTION_ROWS if option == features and crop != "*"))
         by_columns[tuple(option_columns(features, "*"))] = []
         for crop in special:
             by_columns.setdefault(tuple(option_columns(features, crop)), []).append(crop)

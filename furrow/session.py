@@ -18,6 +18,7 @@ def build_session(app_name: str = "furrow", master: str | None = None, **conf: s
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
+        "spark.sql.shuffle.partitions": "1000",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -92,7 +92,7 @@ def export_batches(planned: DataFrame, status: DataFrame, run, path: str, config
             run(name).write.mode("overwrite").parquet(f"{path}/{batch}={name}")
             outcomes.append((name, "completed", digest, ""))
         except Exception as failure:  # recorded, then the run stops
-            outcomes.append((name, "failed", digest, str(failure)[:500]))
+            outcomes.append((name, "failed", digest, str(failure)))
             break
     changes = spark.createDataFrame(outcomes, f"{batch} string, state string, config_hash string, notes string")
     known = status.unionByName(changes.join(status, batch, "left_anti").select(

@@ -48,16 +48,22 @@ def stream_dedupe(events: DataFrame, keys: list[str], *, ts: str = "ts", delay:
     return scale.first_per_key(timed, keys, [F.col(ts)])
 
 
-def stream_status_upsert(updates: DataFrame, path: str, checkpoint: str, key: str = "batch_id"):
+def stream_status_upsert(updates: DataFrame, path: str, checkpoint: str, key: str = "batch_id",
+                         order: str | None = None):
     """Apply each micro-batch of status changes to a table kept as numbered versions.
 
+    Of several changes to a key in a batch, each column takes its last value by ``order`` (a time or sequence column),
+    the largest where these are equal or ``order`` is not given, so a repeated batch gives the same table.
+
     A version is written before its number is used, so a repeated batch after a
     lost executor rewrites the same version.
     """
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = spark.read.parquet(f"{path}/version={number}")
-        latest = batch.groupBy(key).agg(*[F.last(c, ignorenulls=True).alias(c) for c in batch.columns if c != key])
+        by = [F.col(order)] if order else []
+        latest = batch.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*by, F.col(c)))).alias(c)
+                                          for c in batch.columns if c not in (key, order)])
         fresh = latest.select(key).join(last, key, "left_anti")
         blank = fresh.select(*[F.col(c) if c == key else F.lit(None).cast(last.schema[c].dataType).alias(c)
                                for c in last.columns])
