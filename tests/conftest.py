@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,7 +16,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-                            spark__driver__memory="6g")
+                            spark__driver__memory="6g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="furrow-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
