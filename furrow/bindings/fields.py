@@ -510,13 +510,13 @@ ORACLES["dedupe_first"] = "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id)
 
 def concat_dedupe(spark, sf):
     users = table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    parts = [users.where("event_type = 'purchase'"), users.where("event_type = 'click'")]
+    parts = [users.where("event_type = 'purchase'"), users.where("event_type = 'click'"), users.where("event_type NOT IN ('purchase', 'click')")]
     return tables.concat_dedupe(parts, ["user_id"], [F.col("event_id")])
 
 
 QUERIES["concat_dedupe"] = concat_dedupe
-ORACLES["concat_dedupe"] = """SELECT user_id, event_id, event_type FROM events WHERE event_type IN ('purchase', 'click')
- QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'purchase', event_id) = 1"""
+ORACLES["concat_dedupe"] = """SELECT user_id, event_id, event_type FROM events
+ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id) = 1"""
 
 
 def sample_n(spark, sf):

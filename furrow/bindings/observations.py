@@ -395,7 +395,8 @@ ORACLES["zonal_join"] = rounded_sql("""WITH r AS (SELECT CAST(s_suppkey AS VARCH
 
 
 def scene_weeks(spark, sf):
-    start, end = F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date")
+    first, last = table(spark, sf, "events").agg(F.to_date(F.min("ts")), F.date_add(F.to_date(F.max("ts")), 1)).first()
+    start, end = F.lit(first), F.lit(last)
     weeks = F.explode(scalars.week_ranges(start, end)).alias("w")
     ranges = table(spark, sf, "region").agg(F.max("r_regionkey")).select(weeks).select("w.*")
     counts = table(spark, sf, "events").where((F.col("ts") >= start) & (F.col("ts") < end)).groupBy(
@@ -404,6 +405,7 @@ def scene_weeks(spark, sf):
 
 
 QUERIES["scene_weeks"] = scene_weeks
-ORACLES["scene_weeks"] = """SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 + 1 AS INT) AS week,
- CAST(DATE '2024-01-01' + CAST((week - 1) * 7 AS INT) AS DATE) AS week_start, least(CAST(DATE '2024-01-01' + CAST(week * 7 AS INT) AS DATE), DATE '2024-01-31') AS week_end,
- count(*) AS scenes FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY ALL"""
+ORACLES["scene_weeks"] = """WITH b AS (SELECT CAST(min(ts) AS DATE) AS s, CAST(CAST(max(ts) AS DATE) + 1 AS DATE) AS e FROM events)
+ SELECT CAST(date_diff('day', s, CAST(ts AS DATE)) // 7 + 1 AS INT) AS week,
+ CAST(s + CAST((week - 1) * 7 AS INT) AS DATE) AS week_start, least(CAST(s + CAST(week * 7 AS INT) AS DATE), e) AS week_end,
+ count(*) AS scenes FROM events, b GROUP BY ALL"""
