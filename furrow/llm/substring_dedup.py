@@ -215,7 +215,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     shared = anchors.groupBy("prefix").agg(F.count("*").alias("total")).filter("total > 1")
     # Joined by another form of the prefix, both sides have an exchange of their own, so a frequent prefix can be split.
     turned = F.bitwise_not("prefix").alias("turned")
-    found = anchors.withColumn("turned", turned).join(shared.select(turned, "total"), "turned").groupBy("id").agg(F.collect_list(F.struct("prefix", "start", "n", "total")).alias("found"))
+    found = anchors.select(turned, "id", "start", "n").join(shared.select(turned, "total"), "turned").withColumn("prefix", F.bitwise_not("turned")).groupBy("id").agg(F.collect_list(F.struct("prefix", "start", "n", "total")).alias("found"))
     entries = alone.join(found, "id").select("id", "text", "found") \
         .mapInArrow(_entry_rows(window), "prefix long, id long, start int, n int, total long, span string") \
         .withColumn("part", F.when(F.col("total") > group_rows, F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / group_rows))).otherwise(0).cast("int"))
