@@ -26,7 +26,7 @@ from furrow.llm.words import SLICE_BYTES, mix, slices, spaced, text_buffers, win
 
 WINDOW = 20
 PREFIX = 8
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_000
 #: A task builds subtrees for so many entries at a time, or for one larger group.
 BATCH_ENTRIES = 20_000
 
