@@ -18,7 +18,7 @@ from furrow.llm.frames import stored, table
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 EPOCHS = 2
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 KEY_BITS = 60
 
 
