@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
@@ -134,9 +134,12 @@ def label_predictions(model, rows: DataFrame, classes: list[str]) -> DataFrame:
         probs = F.slice(F.concat(probs, F.array_repeat(F.lit(0.0), len(classes))), 1, len(classes))
         predicted = F.get(names, (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
     else:
-        place = F.col("prediction").cast("int")
-        probs = F.transform(F.sequence(F.lit(0), F.lit(len(classes) - 1)), lambda i: (i == place).cast("double"))
-        predicted = F.get(names, place)
+        # One boosted model per class: the probability of each from its margin, made to add up to 1.
+        each = F.transform(vector_to_array("rawPrediction"), lambda margin: 1 / (1 + F.exp(-2 * margin)))
+        sum_of = F.aggregate(each, F.lit(0.0), lambda total, p: total + p)
+        probs = F.transform(each, lambda p: p / sum_of)
+        probs = F.slice(F.concat(probs, F.array_repeat(F.lit(0.0), len(classes))), 1, len(classes))
+        predicted = F.get(names, (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
     return out.withColumns({"predicted": predicted, "probabilities": probs}).drop(
         "features", "rawPrediction", "probability", "prediction")
 
@@ -240,24 +243,43 @@ def one_vs_rest(df: DataFrame, features: list[str], label: str, kind: str, *, pi
 
 def _fit_binary(df, features, label, crop, kind, **options):
     rows = df.withColumn("__side", F.when(F.col(label) == crop, crop).otherwise("other"))
-    filled, used = (linear.impute_median(rows, [], features, keep_empty=True), features) if kind == "logistic" \
-        else flag_missing(rows, features)
-    rows = assemble(index_labels(folds.class_weights(filled, "__side"), "__side", ["other", crop]), used).persist()
+    rows = index_labels(folds.class_weights(rows, "__side"), "__side", ["other", crop])
+    if kind == "logistic":
+        steps = [*_filled_and_scaled(rows, features), classifier(kind, rows=rows.count(), **options)]
+        return Pipeline(stages=steps).fit(rows)
+    filled, used = flag_missing(rows, features)
+    rows = assemble(filled, used).persist()
     try:
         return classifier(kind, rows=rows.count(), **options).fit(rows)
     finally:
         rows.unpersist()
 
 
+def _filled_and_scaled(train: DataFrame, features: list[str]) -> list:
+    """Stages that fill gaps with the training median and standardise by training mean and deviation; numbers are kept in the stages."""
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in features]
+    medians = [0.0 if m is None else m for m in train.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(clean)]).first()]
+    filled = [F.coalesce(c, F.lit(m)) for c, m in zip(clean, medians)]
+    stats = train.agg(*[e.alias(f"{k}{i}") for i, c in enumerate(filled) for k, e in (("a", F.avg(c)), ("s", F.stddev_pop(c)))]).first()
+    values = ", ".join(f"(coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), CAST('{medians[i]!r}' AS DOUBLE)) - CAST('{stats[f'a{i}']!r}' AS DOUBLE))"
+                       f" / CAST('{stats[f's{i}'] or 1.0!r}' AS DOUBLE) AS `__in{i}`" for i, c in enumerate(features))
+    return [SQLTransformer(statement=f"SELECT *, {values} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"__in{i}" for i in range(len(features))], outputCol="features")]
+
+
 def predict_one_vs_rest(models: dict, df: DataFrame, features: list[str], kind: str) -> DataFrame:
     """Positive probability per trained crop and the crop with the highest, the first by name on ties."""
-    rows, used = (linear.impute_median(df, [], features, keep_empty=True), features) if kind == "logistic" \
-        else flag_missing(df, features)
-    rows = assemble(rows, used)
+    rows = df
+    if kind != "logistic":
+        rows, used = flag_missing(df, features)
+        rows = assemble(rows, used)
     for crop, model in sorted(models.items()):
         model = model.copy()
-        model.setPredictionCol("__p").setProbabilityCol("__q").setRawPredictionCol("__r")
+        last = model.stages[-1] if kind == "logistic" else model
+        last.setPredictionCol("__p").setProbabilityCol("__q").setRawPredictionCol("__r")
         rows = model.transform(rows).withColumn(f"prob_{crop}", vector_to_array("__q")[1]).drop("__p", "__q", "__r")
+        if kind == "logistic":
+            rows = rows.drop("features", *[f"__in{i}" for i in range(len(features))])
     names = sorted(models)
     probs = F.array(*[F.col(f"prob_{c}") for c in names])
     best = F.get(F.array(*[F.lit(c) for c in names]), (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))

@@ -319,6 +319,28 @@ def test_one_vs_rest(spark, tmp_path):
     assert {r.crop_name for r in scores.collect()} == {"barley", "canola", "wheat"} and rows.count() <= 720
 
 
+def test_one_vs_rest_scores_a_row_alone_as_in_its_table(spark, tmp_path):
+    df = separable(spark).withColumn("a", F.when(F.crc32("pid") % 7 != 0, F.col("a")))
+    fitted, manifest = models.one_vs_rest(df, ["a", "b"], "crop", "logistic", min_fields=2)
+    columns = ["pid", *[f"prob_{c}" for c in sorted(fitted)], "predicted"]
+    table = {r.pid: r for r in models.predict_one_vs_rest(fitted, df, ["a", "b"], "logistic").select(columns).collect()}
+    path = str(tmp_path / "ovr")
+    models.save_one_vs_rest(fitted, manifest, ["a", "b"], path)
+    loaded, features = models.load_one_vs_rest(spark, path)
+    for row in [df.where("a is null").first(), df.where("a is not null").first()]:
+        alone = models.predict_one_vs_rest(loaded, df.where(F.col("pid") == row.pid), features, "logistic").select(columns).first()
+        assert alone.predicted == table[row.pid].predicted
+        assert [alone[c] for c in columns[1:-1]] == pytest.approx([table[row.pid][c] for c in columns[1:-1]])
+
+
+def test_boosted_multiclass_probabilities_are_soft(spark):
+    df = separable(spark)
+    out = models.fit_predict(df, df, ["a", "b"], "crop", ["barley", "canola", "wheat"], "boosted", iterations=3, max_depth=2).collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in out)
+    assert any(0.01 < p < 0.99 for r in out for p in r.probabilities)
+    assert sum(r.predicted == r.crop for r in out) > 180
+
+
 def test_compare_feature_sets(spark):
     df = separable(spark).withColumnsRenamed({"a": "NDVI_jul", "b": "VV_jul"})
     out = models.compare_feature_sets(df, ["NDVI_jul", "VV_jul"], "crop", "decision_tree", {"s2": ["s2"], "s2+s1": ["all"]}, folds_n=3, repeats=1)
