@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The id that stands for a null one inside an operator; no document may have it.
 NO_ID = -(2**63)
+TEXT_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,15 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def text_batches(spark: SparkSession) -> None:
+    """From now on Python gets at most TEXT_ROWS rows at a time: the usual 10,000 whole texts would be tens of MB in each task,
+    on both sides of the pipe, for as long as the worker lives. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.frames import table
+from furrow.llm.frames import table, text_batches
 
 #: About so many labelled pages, whole, teach the weights; chosen by a hash of the id.
 SAMPLE_PAGES = 1_000
@@ -163,6 +163,7 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     Character references are decoded once, white space within and between blocks becomes one space; inline tags put no space
     between what they touch. Repeated rows each give a row. Other columns are ignored.
     """
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

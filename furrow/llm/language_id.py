@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.frames import fold, table
+from furrow.llm.frames import fold, table, text_batches
 from furrow.llm.words import LOWER, byte_sums, mix, powers, slices, sums_by_text, text_buffers, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,7 +32,7 @@ LONGEST_PIECE = 16
 LONGEST_WORD = 31
 SMOOTHING = 0.1
 UNKNOWN = "und"
-SLICE = 2_000_000
+SLICE = 1_000_000
 LETTER_BYTE = np.zeros(256, dtype=bool)
 LETTER_BYTE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -173,6 +173,7 @@ def learn(labelled: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPL
     About `sample` documents of each language are used, those with the least hash of doc_id (all where there are fewer). What comes
     back to the driver is one row for each language and piece seen.
     """
+    text_batches(labelled.sparkSession)
     rows = labelled.filter("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -197,6 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     letter, and any text if no language was learned, is "und" with score 0. Columns of docs with these two names are replaced.
     """
     rest = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

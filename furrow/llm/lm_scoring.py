@@ -15,7 +15,7 @@ into chunks, each chunk's different words are joined with the counts once, and a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.frames import fold, stored, table
+from furrow.llm.frames import fold, stored, table, text_batches
 from furrow.llm.words import LOWER, mix, slices, sums_by_text, words_of
 
 #: A range of hashes has the bigrams of about so many bytes of text; there are at least 256.
@@ -159,15 +159,18 @@ def _segment_rows(key: tuple, rows: pa.Table) -> pa.Table:
 class Filter:
     """Some segments of the log-frequency Bloom filter."""
 
-    def __init__(self, segments: dict[int, tuple[bytes, int]], range_bits: int):
+    def __init__(self, sizes: dict[int, int], segments: Iterable[tuple[int, bytes]], range_bits: int):
+        """sizes: bits of the segments of each range; one that segments doesn't have is empty."""
         self.shift = np.uint64(64 - range_bits)
-        self.bits = np.concatenate([np.zeros(0, dtype=np.uint8), *[np.frombuffer(b, dtype=np.uint8) for b, _ in segments.values()]])
         self.start = np.full(1 << range_bits, -1, dtype=np.int64)
         self.size = np.ones(1 << range_bits, dtype=np.uint64)
         at = 0
-        for k, (b, n) in segments.items():
+        for k, n in sizes.items():
             self.start[k], self.size[k] = at, n
-            at += len(b)
+            at += -(-n // 8)
+        self.bits = np.zeros(at, dtype=np.uint8)
+        for k, b in segments:
+            self.bits[self.start[k]:self.start[k] + len(b)] = np.frombuffer(b, dtype=np.uint8)
 
     def counts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the hashes fall to this filter, their counts): levels are probed one by one until one is missing."""
@@ -254,6 +257,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, broadcast_bytes: int = BROADCAST
     Other columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", folds) == 0).alias("held_out"), text.alias("text"))
     size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
@@ -262,6 +266,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, broadcast_bytes: int = BROADCAST
                       .groupBy("range").applyInArrow(_segment_rows, "range int, bits binary, n_bits long, different long, tokens long"))
     sizes = segments.select("range", "n_bits", "different", "tokens").orderBy("range").collect()
     total, distinct = sum(r["tokens"] for r in sizes), sum(r["different"] for r in sizes)
+    bits = {r["range"]: r["n_bits"] for r in sizes}
     missing = sorted(set(range(1 << range_bits)) - {r["range"] for r in sizes})
     parts, filled = [[]], 0
     for r in sizes:
@@ -277,8 +282,10 @@ def lm_scores(docs: DataFrame, folds: int = 10, broadcast_bytes: int = BROADCAST
     known = words.select("chunk", "word").join(words.groupBy("word").agg(F.sum("n").alias("n")), "word")
     scored = []
     for k, part in enumerate(parts):
-        bits = {r["range"]: (bytes(r["bits"]), r["n_bits"]) for r in segments.filter(F.col("range").between(part[0], part[-1])).collect()} if part else {}
-        shared = spark.sparkContext.broadcast(Filter(bits | ({m: (bytes(8), 64) for m in missing} if k == 0 else {}), range_bits))
+        # Fetched some ranges at a time, so the driver holds a part once.
+        rows_of = (r for at in range(0, len(part), 32) for r in segments.filter(F.col("range").between(part[at], part[min(at + 31, len(part) - 1)])).select("range", "bits").collect())
+        own = {m: bits[m] for m in part} | (dict.fromkeys(missing, 64) if k == 0 else {})
+        shared = spark.sparkContext.broadcast(Filter(own, ((r["range"], r["bits"]) for r in rows_of), range_bits))
         scored.append(dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score_rows(shared, total, distinct),
                       "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, mark long"))
     one = scored[0]

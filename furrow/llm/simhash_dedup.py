@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.components import components
-from furrow.llm.frames import stored, table
+from furrow.llm.frames import stored, table, text_batches
 from furrow.llm.words import LOWER, slices, spaced, words_of
 
 SHINGLE = 3
@@ -70,6 +70,7 @@ def _fingerprint_rows(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, print) for each row; a null text or one without words has fingerprint zero."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(_fingerprint_rows(shingle), "doc_id long, print long")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.frames import id_of, one_row_per_document, table
+from furrow.llm.frames import id_of, key_of, one_row_per_document, table, text_batches
 from furrow.llm.words import SLICE_BYTES, mix, slices, spaced, text_buffers, window_hashes, words_of
 
 WINDOW = 20
@@ -175,7 +175,7 @@ def _mark(n: int, found: list | None, copy: bool, window: int) -> np.ndarray:
     return np.cumsum(gone[:n]) > 0
 
 
-def _kept_rows(window: int, with_text: bool):
+def _kept_rows(window: int, with_text: bool, carried: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -190,20 +190,21 @@ def _kept_rows(window: int, with_text: bool):
                     for column, value in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode() if gone.any() else text.as_py()) if with_text else None)):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()),
-                                                  *([pa.array(out[3], pa.string())] if with_text else [])],
-                                                 names=["id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
+                                                  *([pa.array(out[3], pa.string())] if with_text else []), *([part.column(5)] if carried else [])],
+                                                 names=["id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []), *(["rest"] if carried else [])])
     return rows
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Mark the words covered by a window of `window` words that also starts earlier (smaller doc_id, or earlier in the document).
 
     Per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the text itself where nothing is removed, else kept words joined by one space). A null or
     empty text has no words; a text of under `window` words keeps all. Rows that repeat a doc_id count as one document with the
-    smallest text; no doc_id sorts first. Other columns are ignored. Words are told apart by 64-bit hashes, window by window.
+    smallest text (and the smallest values of the columns in carry, which are returned as they are); no doc_id sorts first. Other columns are ignored. Words are told apart by 64-bit hashes, window by window.
     """
     if window - prefix + 1 > 62 or not 0 < prefix <= window:
         raise ValueError("prefix must be 1 to window words, and at most 61 shorter")
+    text_batches(docs.sparkSession)
     one = one_row_per_document(docs)
     # Whole copies need no tree: all their windows start in the copy with the smallest id.
     digest = one.select("id", F.sha2("text", 256).alias("digest"))
@@ -230,8 +231,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         .groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("repeats").alias("repeats"))
     columns = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     marked = base.join(repeats, "id", "left").select("id", "text", "starts", "repeats", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return marked.mapInArrow(_kept_rows(window, with_text), columns).withColumn("doc_id", id_of("id")) \
-        .select("doc_id", *[c.split()[0] for c in columns.split(", ")[1:]])
+    names = [c.split()[0] for c in columns.split(", ")[1:]]
+    if carry:
+        # Joined to the texts where they are; a join with the kept texts would shuffle them once more.
+        rest = docs.select(key_of("doc_id").alias("id"), F.struct(*carry).alias("rest")).groupBy("id").agg(F.min("rest").alias("rest"))
+        marked = marked.join(rest, "id")
+        columns += f", rest {rest.schema['rest'].dataType.simpleString()}"
+    return marked.mapInArrow(_kept_rows(window, with_text, bool(carry)), columns).withColumn("doc_id", id_of("id")) \
+        .select("doc_id", *names, *[F.col("rest")[c].alias(c) for c in carry])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.frames import fold, table
+from furrow.llm.frames import fold, table, text_batches
 from furrow.llm.words import LOWER, byte_sums, mix, powers, slices, sums_by_text, words_of
 
 #: About so many labelled documents of each label are learned from, whole; chosen by a hash of the id, never over twice as many.
@@ -34,7 +34,7 @@ RATE = 0.3
 DECAY = 1e-3
 #: Texts have few toxic words, so means are scaled up before the map; the map could learn the same, more slowly.
 GAIN = 30.0
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +192,7 @@ def score(docs: DataFrame, numbers: np.ndarray, bias: float) -> DataFrame:
     """The rows of docs with score (0 to 1) and predicted (1 from 0.5 on), from the whole text alone; a null or empty text gets
     the score of no words. Columns of docs with these two names are replaced."""
     rest = docs.drop("score", "predicted").withColumn("text", F.col("text").cast("string"))
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((numbers, bias))
     schema = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

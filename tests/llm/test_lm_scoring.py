@@ -79,7 +79,8 @@ def test_filter_finds_every_level():
     with np.errstate(over="ignore"):
         hashes = rng.integers(0, 1 << 56, 20_000, dtype=np.uint64)  # range 0 of 256
         counts = np.maximum(1, (rng.pareto(1, len(hashes)) * 2).astype(np.int64))
-        f = Filter({0: segment_of(_low(hashes), counts)}, 8)
+        segment, size = segment_of(_low(hashes), counts)
+        f = Filter({0: size}, [(0, segment)], 8)
         mine, got = f.counts(hashes)
         want = count_of(levels_of(counts))
         assert (mine == np.arange(len(hashes))).all() and (got >= want - 1e-9).all()
