@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from furrow import scale
 from furrow.bindings.common import rounded, rounded_sql, table
-from furrow.columns import PEAK_FEATURES
+from furrow.columns import BENCHMARK_FEATURE_SETS, PEAK_FEATURES
 from furrow.operators import folds, metrics, tables
 from furrow.plans import benchmark, bundle, linear, models, season
 
@@ -284,12 +284,19 @@ QUERIES["shuffled_folds"] = lambda spark, sf: folds.shuffled_folds(table(spark,
 ORACLES["shuffled_folds"] = f"SELECT o_orderkey, CAST({DRAW.format(key='o_orderkey', seed=42)} % 5 AS INT) AS fold FROM orders"
 
 
+def seasons_of(rows):
+    """Every season of the table."""
+    return tuple(season.season_list(rows.where("year IS NOT NULL")))
+
+
 def season_evaluation(spark, sf):
-    return season.evaluate_season_field(field_table(spark, sf), years=tuple(range(1990, 2010)), deviation_features="peak_history").metrics
+    rows = scale.cut_lineage(field_table(spark, sf))
+    return season.evaluate_season_field(rows, years=seasons_of(rows), deviation_features="peak_history").metrics
 
 
 def season_evaluation_regional(spark, sf):
-    return season.evaluate_season_field(field_table(spark, sf), years=tuple(range(1990, 2010)), deviation_features="peak",
+    rows = scale.cut_lineage(field_table(spark, sf))
+    return season.evaluate_season_field(rows, years=seasons_of(rows), deviation_features="peak",
                                         season_features="regional_satellite", regions=region_rows(spark, sf)).metrics
 
 
@@ -319,17 +326,18 @@ def season_bundle(spark, sf):
 
 
 QUERIES["season_bundle_scores"] = season_bundle
-SETS = {"peak": PEAK_FEATURES}
+#: The benchmark's own feature sets, with those of their columns that the table has.
+SETS = {name: [c for c in columns if c in PEAK_FEATURES] for name, columns in BENCHMARK_FEATURE_SETS.items()}
 
 
 def field_benchmark(spark, sf):
-    return benchmark.benchmark_field_yield(field_table(spark, sf), kinds=("ridge",), sets=SETS)[0]
+    return benchmark.benchmark_field_yield(field_table(spark, sf), sets=SETS)[0]
 
 
 def margin_holdout(spark, sf):
     rows = scale.cut_lineage(field_table(spark, sf))
     last = rows.agg(F.max("year")).first()[0]
-    return benchmark.holdout_with_margin(rows, test_year=last, min_improvement=0.1, kinds=("ridge",), sets=SETS)[1]
+    return benchmark.holdout_with_margin(rows, test_year=last, min_improvement=0.1, sets=SETS)[1]
 
 
 QUERIES["field_benchmark"] = field_benchmark
@@ -348,11 +356,11 @@ QUERIES["pixel_yield_cv"] = pixel_yield
 
 # --- fitted models -------------------------------------------------------------------------
 
-WIDTH = 8
+WIDTH = 64
 
 
 def pixels(spark, sf):
-    """Embeddings as pixel rows: eight features, three crops and a field per ten rows."""
+    """Embeddings as pixel rows: all their values as features, three crops and a field per ten rows."""
     rows = table(spark, sf, "embeddings")
     return rows.select(F.format_string("%06d", F.floor(F.col("vec_id") / 10)).alias("pid"), F.floor(F.col("vec_id") / 10).cast("string").alias("row_id"), "vec_id",
                        F.element_at(F.array(F.lit("barley"), F.lit("canola"), F.lit("wheat")), (F.col("label") % 3 + 1).cast("int")).alias("crop"),
@@ -384,33 +392,33 @@ def _classify(kind, **options):
 
 QUERIES["decision_tree"] = _classify("decision_tree")
 QUERIES["logistic_regression"] = _classify("logistic")
-QUERIES["random_forest"] = _classify("random_forest", trees=20, max_depth=6)
-QUERIES["boosted"] = _classify("boosted", iterations=5, max_depth=3)
+QUERIES["random_forest"] = _classify("random_forest")
+QUERIES["boosted"] = _classify("boosted")
 
 
 def cross_validation(spark, sf):
-    return models.cross_validate(pixels(spark, sf), COLUMNS, "crop", "decision_tree", folds_n=3, repeats=1)["field_class_summary"]
+    return models.cross_validate(pixels(spark, sf), COLUMNS, "crop", "decision_tree")["field_class_summary"]
 
 
 def one_vs_rest(spark, sf):
     rows = pixels(spark, sf)
-    fitted, _ = models.one_vs_rest(rows, COLUMNS, "crop", "decision_tree", max_depth=4)
+    fitted, _ = models.one_vs_rest(rows, COLUMNS, "crop", "decision_tree")
     scored = models.predict_one_vs_rest(fitted, rows, COLUMNS, "decision_tree")
     return scored.select("vec_id", "crop", "predicted", "confidence")
 
 
 def one_vs_rest_ranked(spark, sf):
-    return models.one_vs_rest_ranked(pixels(spark, sf), COLUMNS, "crop", group="row_id", folds_n=3, top_k=4)[0]
+    return models.one_vs_rest_ranked(pixels(spark, sf), COLUMNS, "crop", group="row_id")[0]
 
 
 def pixel_classifier(spark, sf):
-    return models.pixel_classifier(pixels(spark, sf), COLUMNS, trees=10, max_depth=5)[0]
+    return models.pixel_classifier(pixels(spark, sf), COLUMNS)[0]
 
 
 def historical_benchmark(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_brand").alias("Area"), F.col("p_type").alias("Item"), F.col("p_size").alias("Year"), "p_partkey",
                                            F.col("p_retailprice").alias("hg/ha_yield"), (F.col("p_partkey") / 100).alias("avg_temp"))
-    return models.historical_benchmark(rows, key="p_partkey", folds_n=2, kinds=("linear", "tree", "knn"), max_depth=5)
+    return models.historical_benchmark(rows, key="p_partkey")
 
 
 QUERIES["cross_validation"] = cross_validation
