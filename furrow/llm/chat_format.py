@@ -96,7 +96,16 @@ def read_chats(chats: DataFrame) -> DataFrame:
             .otherwise(inner(F.length(named) + len(OTHER[1]), OTHER[2]))
         return F.transform(F.split(body, r"<\|next\|>"), lambda text: F.struct(role.alias("role"), unescaped(text).alias("text")))
     pieces = F.filter(F.split("formatted", OPENING), lambda piece: piece != "")
-    return chats.select("conv_id", "formatted", F.flatten(F.transform(pieces, parsed)).alias("turns"))
+    mask = ["loss_mask"] if "loss_mask" in chats.columns else []
+    return chats.select("conv_id", "formatted", *mask, F.flatten(F.transform(pieces, parsed)).alias("turns"))
+
+
+def learnt_text(formatted: Column, loss_mask: Column) -> Column:
+    """The text under the mask, unescaped: formatted's code points beside one flag each, so that it takes one pass."""
+    def flags(run: Column) -> Column:
+        return F.concat(*[F.array_repeat(F.lit(name == "take"), run[name].cast("int")) for name in ("skip", "take", "after")])
+    taken = F.zip_with(F.split(formatted, ""), F.flatten(F.transform(loss_mask, flags)), lambda c, flag: F.when(flag, c).otherwise(""))
+    return unescaped(F.array_join(taken, ""))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +115,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more))
     read = read_chats(chats)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    learnt = learnt_text(F.col("formatted"), F.col("loss_mask"))
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), learnt.alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars")) \
         .select("conv_id", "n_turns", "turns_sha256", F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
 
