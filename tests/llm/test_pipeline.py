@@ -1,6 +1,6 @@
 import pytest
 from test_decontamination import brute as leaks
-from test_simhash_dedup import print_of, roots_of
+from test_near_copies import brute as near
 from test_source_mix import brute as mixed
 
 import corpus_pipeline
@@ -12,12 +12,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def one_of_each_group(rows):
-    prints = {r[0]: print_of(r[1]) for r in rows}
-    root = roots_of(set(prints.values()))
-    low = {}
-    for d, p in prints.items():
-        low[root[p]] = min(d, low.get(root[p], d))
-    return [r for r in rows if low[root[prints[r[0]]]] == r[0]]
+    low = dict(near([r[:2] for r in rows]))
+    return [r for r in rows if low[r[0]] == r[0]]
 
 
 def without_repeats(rows, window=20):
@@ -71,3 +67,12 @@ def test_near_copies_leave_one(spark, sf):
     rows = [(k, text, "en", "a", 1) for k in (9, 4, 7)] + [(None, text, "en", "a", 1), (20, text[::-1], "en", "a", 1)]
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, SCHEMA), sf).collect()
     assert sorted(r.doc_id for r in got) == [4, 20]
+
+
+def test_repeated_ids_and_clashing_columns(spark, sf):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(5, text + " b", "x", {"a": 1}), (5, text + " a", "y", None), (8, "other words here " * 9, "z", {"b": 2}), (8, "third text at all " * 9, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, more map<string, int>")
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text[:6], r._key) for r in got.collect()) == [(5, text[:6], "y"), (8, "other ", "z")]
