@@ -35,10 +35,16 @@ def test_verdicts(spark):
     got = {r.text: r.rejected_by for r in quality(spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA)).collect()}
     assert got[CLEAN] is None and got["été " * 3 + CLEAN] is None
     assert got[CLEAN.upper()] == "capitals" and got[CLEAN.replace(" ", "### ")] in ("symbols", "few_letters")
-    assert got[" ".join(f"w{i}" for i in range(100))] == "no_frequent_words"
+    assert got[" ".join(f"w{i}" for i in range(100))] in ("no_frequent_words", "few_letters")  # it fails both
     assert got[None] == got[""] == got["a b c"] == "base"
 
 
+def test_runs_agree(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA)
+    first, second = (sorted((r.doc_id, r.rejected_by or "") for r in quality(docs.repartition(n)).collect()) for n in (1, 5))
+    assert first == second
+
+
 def test_order_changes_no_verdict(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA)
     first = {r.doc_id: r.kept for r in quality(docs).collect()}
