@@ -238,6 +238,25 @@ def ridge_loo(spark, sf):
 QUERIES["ridge_loo"] = ridge_loo
 
 
+def ridge_loo_one_feature(spark, sf):
+    """One feature has a closed form; a NULL key and incomplete rows among them."""
+    rows = table(spark, sf, "lineitem").select(F.nullif("l_returnflag", F.lit("A")).alias("crop"), F.when(F.col("l_tax") < 0.07, F.col("l_quantity")).alias("x"), F.col("l_extendedprice").alias("y"))
+    params = linear.ridge_loo(rows, ["crop"], ["x"], "y")
+    return rounded(params.select("crop", "alpha", F.col("n").cast("bigint").alias("n"), "intercept", F.get("coef", F.lit(0)).alias("slope")), 3)
+
+
+QUERIES["ridge_loo_one_feature"] = ridge_loo_one_feature
+ORACLES["ridge_loo_one_feature"] = rounded_sql(f"""WITH r AS (SELECT nullif(l_returnflag, 'A') AS crop, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem WHERE l_tax < 0.07 AND l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+ m AS (SELECT crop, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sd FROM r GROUP BY crop),
+ z AS (SELECT r.crop, n, mx, my, sd, (x - mx) / sd AS z, y - my AS e FROM r JOIN m ON r.crop IS NOT DISTINCT FROM m.crop),
+ c AS (SELECT crop, sum(z * e) AS zy, sum(z * z) AS zz FROM z GROUP BY crop),
+ s AS (SELECT z.crop, alpha, sum(((e - z * zy / (zz + alpha)) / (1 - 1.0 / n - z * z / (zz + alpha))) ** 2) AS sse
+       FROM z JOIN c ON z.crop IS NOT DISTINCT FROM c.crop, (SELECT unnest([{', '.join(f'{a!r}e0' for a in linear.LOO_ALPHAS)}]) AS alpha) GROUP BY 1, 2),
+ b AS (SELECT crop, arg_min(alpha, (round(sse, 9), alpha)) AS alpha FROM s GROUP BY 1)
+ SELECT m.crop, b.alpha, n, my - zy / (zz + b.alpha) / sd * mx AS intercept, zy / (zz + b.alpha) / sd AS slope
+ FROM m JOIN c ON m.crop IS NOT DISTINCT FROM c.crop JOIN b ON m.crop IS NOT DISTINCT FROM b.crop""", ["alpha", "intercept", "slope"], 3)
+
+
 def season_ridge(spark, sf):
     params = linear.season_ridge(scale.cut_lineage(field_table(spark, sf)), ["crop"], PEAK_FEATURES, "yield")
     return params.select("crop", "alpha", "n", "intercept", F.to_json("coef").alias("coef"))

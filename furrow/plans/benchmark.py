@@ -12,7 +12,7 @@ from furrow.columns import BENCHMARK_FEATURE_SETS
 from furrow.operators import folds
 from furrow.operators.metrics import regression_metrics
 from furrow.operators.selection import min_group_size, pixel_feature_sets, year_constant_columns
-from furrow.plans import linear, models
+from furrow.plans import boosting, linear, models
 
 CROP = ["crop", "yield_unit"]
 IDS = ["field_key", "section_key", "year", "crop", "yield_unit", "yield"]
@@ -23,9 +23,8 @@ def candidate_list(kinds: tuple[str, ...], sets: dict[str, list[str]]) -> list[t
     return [("mean_baseline", "none", [])] + [(kind, name, columns) for name, columns in sets.items() for kind in kinds]
 
 
-def predict_candidate(train: DataFrame, test: DataFrame, keys: list[str], kind: str, columns: list[str],
-                      **options) -> DataFrame:
-    """``predicted`` for test rows from a model fitted on the training rows of the same key."""
+def predict_candidate(train: DataFrame, test: DataFrame, keys: list[str], kind: str, columns: list[str]) -> DataFrame:
+    """``predicted`` for test rows from a baseline or ridge fitted on the training rows of the same key."""
     if kind == "mean_baseline":
         means = train.groupBy(*keys).agg(F.avg("yield").alias("predicted"))
         return scale.attach(test, means, keys)
@@ -41,51 +40,57 @@ def predict_candidate(train: DataFrame, test: DataFrame, keys: list[str], kind:
 
         params = linear.ridge_loo(scale.cut_lineage(fill(train)), keys, columns, "yield")
         return linear.predict_linear(fill(test), params, keys, columns, "predicted")
-    # Tree ensembles have no closed form: one distributed fit per key.
-    found = [tuple(r) for r in train.select(*keys).distinct().collect()]
-    parts = []
-    for key in sorted(found, key=str):
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, key)])
-        filled, used = models.flag_missing(train.where(same), columns)
-        model = models.regressor("shallow_boosted", label="yield", **options).fit(models.assemble(filled, used))
-        rows = models.assemble(models.flag_missing(test.where(same), columns)[0], used)
-        parts.append(model.transform(rows).select(*test.columns, "predicted"))
-    return reduce(DataFrame.unionByName, parts)
+    raise ValueError(f"Unknown model {kind!r}.")
+
 
+def add_fold(table: DataFrame, split: str, name: str = "fold", folds_n: int = 5) -> DataFrame:
+    """Rows with the fold that holds them out: whole seasons, or whole sections spread over five folds per crop.
 
-def split_rows(table: DataFrame, split: str, folds_n: int = 5) -> DataFrame:
-    """Rows with ``fold``: whole seasons, or whole sections spread over five folds per crop."""
+    Rows of a crop with one season, or one section, only have no fold: there is nothing to hold out.
+    """
+    group = "year" if split == "year" else "section_key"
+    sized = scale.with_group_stats(table, CROP, {"__groups": F.count_distinct(group)})
+    usable = F.col("__groups") >= 2
     if split == "year":
-        return table.withColumn("fold", F.col("year").cast("int"))
-    keyed = table.withColumn("__g", F.concat_ws("\x01", *CROP, "section_key"))
-    parts = [folds.fold_table(keyed.where((F.col("crop") == c) & (F.col("yield_unit") == u)), "__g", folds_n)
-             for c, u in table.select(*CROP).distinct().collect()]
-    return scale.attach(keyed, reduce(DataFrame.unionByName, parts), ["__g"]).drop("__g")
+        return sized.withColumn(name, F.when(usable, F.col("year").cast("int"))).drop("__groups")
+    keyed = sized.withColumns({"__g": F.concat_ws("\x01", *CROP, "section_key"), "__c": F.concat_ws("\x01", *CROP)})
+    dealt = folds.fold_table(keyed.where(usable), "__g", folds_n, stratify="__c").withColumnRenamed("fold", name)
+    return scale.attach(keyed, dealt, ["__g"]).drop("__g", "__c", "__groups")
 
 
-def out_of_fold(rows: DataFrame, kind: str, columns: list[str], **options) -> DataFrame:
+def out_of_fold(rows: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     """Out-of-fold predictions of every crop in one pass: rows repeat once per other fold as training rows."""
     list_of_folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
     slim = rows.select(*IDS, "fold", *[c for c in columns if c not in IDS])
     stacked = slim.withColumn("held", F.explode(F.array(*[F.lit(f) for f in list_of_folds])))
     train = stacked.where("fold <> held")
     test = slim.withColumn("held", F.col("fold"))
-    return predict_candidate(train, test, CROP + ["held"], kind, columns, **options).select(*IDS, "predicted")
+    return predict_candidate(train, test, CROP + ["held"], kind, columns).select(*IDS, "predicted")
 
 
 def benchmark_field_yield(table: DataFrame, *, min_rows: int = 10, kinds: tuple[str, ...] = ("ridge", "gbm"),
                           sets: dict[str, list[str]] = BENCHMARK_FEATURE_SETS,
                           splits: tuple[str, ...] = ("year", "section"), **options) -> tuple[DataFrame, DataFrame]:
-    """Scores and predictions of baseline and models per crop, unit, split and feature set."""
-    rows = scale.cut_lineage(min_group_size(table, CROP, min_rows))
-    parts = []
+    """Scores and predictions of baseline and models per crop, unit, split and feature set.
+
+    Boosted trees of all crops, folds, splits and feature sets are grown together (see ``boosting``); ``options`` are theirs.
+    """
+    rows = min_group_size(table, CROP, min_rows)
+    for split in splits:
+        rows = add_fold(rows, split, f"__{split}")
+    rows = scale.cut_lineage(rows)
+    parts, counts = [], []
     for split in splits:
-        # A split needs two groups to hold one out.
-        group = "year" if split == "year" else "section_key"
-        usable = scale.cut_lineage(split_rows(min_group_size(rows, CROP, 2, distinct=group), split))
-        for kind, name, columns in candidate_list(kinds, sets):
-            parts.append(out_of_fold(usable, kind, columns, **options).withColumns(
-                {"split": F.lit(split), "feature_set": F.lit(name), "model": F.lit(kind)}))
+        usable = rows.where(F.col(f"__{split}").isNotNull()).withColumn("fold", F.col(f"__{split}"))
+        counts.append(usable.groupBy(*CROP).agg(F.count_distinct("fold").alias("folds")).withColumn("split", F.lit(split)))
+        fitted: dict[tuple, DataFrame] = {}
+        for kind, name, columns in candidate_list([k for k in kinds if k != "gbm"], sets):
+            same = (kind, *columns)
+            fitted[same] = fitted[same] if same in fitted else scale.cut_lineage(out_of_fold(usable, kind, columns))
+            parts.append(fitted[same].withColumns({"split": F.lit(split), "feature_set": F.lit(name), "model": F.lit(kind)}))
+    if "gbm" in kinds:
+        grown = boosting.boosted_folds(rows, CROP, "yield", IDS, [f"__{s}" for s in splits], sets, **options)
+        parts.append(grown.withColumns({"split": F.substring("split", 3, 100), "model": F.lit("gbm")}))
     predictions = scale.cut_lineage(reduce(DataFrame.unionByName, parts))
     base = predictions.where("model = 'mean_baseline'").select("split", *[c for c in IDS if c != "yield"],
                                                                F.col("predicted").alias("pred_baseline"))
@@ -95,7 +100,8 @@ def benchmark_field_yield(table: DataFrame, *, min_rows: int = 10, kinds: tuple[
     metrics = regression_metrics(scored, keys, baseline="pred_baseline")
     facts = predictions.groupBy(*keys).agg(F.count_distinct("year").alias("years"),
                                            F.count_distinct("section_key").alias("sections"))
-    return metrics.join(facts, keys).withColumnsRenamed({"n": "field_years", "skill": "mae_skill"}), predictions
+    folded = reduce(DataFrame.unionByName, counts)
+    return metrics.join(facts, keys).join(folded, [*CROP, "split"]).withColumnsRenamed({"n": "field_years", "skill": "mae_skill"}), predictions
 
 
 def holdout_with_margin(table: DataFrame, *, test_year: int, min_rows: int = 10, min_improvement: float = 0.0,
@@ -117,16 +123,25 @@ def holdout_with_margin(table: DataFrame, *, test_year: int, min_rows: int = 10,
             "skipped: no test rows or under two development years").otherwise("scored")))
     usable = rows.join(F.broadcast(status.where("status = 'scored'").select(*CROP)), CROP, "left_semi")
     dev, test = usable.where(F.col("year") < test_year), usable.where(F.col("year") == test_year)
-    dev = scale.cut_lineage(split_rows(dev, "year"))
+    dev = scale.cut_lineage(add_fold(dev, "year"))
+    test = scale.cut_lineage(test.withColumn("fold", F.lit(boosting.TEST)))
+    grown = None
+    if "gbm" in kinds:
+        # One run gives both: rows of the test season teach nothing and are predicted from all others.
+        grown = scale.cut_lineage(boosting.boosted_folds(dev.unionByName(test), CROP, "yield", IDS, ["fold"], sets, **options))
     listed = candidate_list(kinds, sets)
     errors, finals = [], []
     for position, (kind, name, columns) in enumerate(listed):
         tag = {"position": F.lit(position), "model": F.lit(kind), "feature_set": F.lit(name)}
-        errors.append(regression_metrics(out_of_fold(dev, kind, columns, **options), CROP).select(
-            *CROP, F.col("mae").alias("dev_mae")).withColumns(tag))
-        slim = [c for c in columns if c not in IDS]
-        finals.append(predict_candidate(dev.select(*IDS, *slim), test.select(*IDS, *slim), CROP, kind, columns,
-                                        **options).select(*IDS, "predicted").withColumns(tag))
+        if kind == "gbm":
+            own = grown.where(F.col("feature_set") == name).select(*IDS, "predicted")
+            held, final = own.where(F.col("year") < test_year), own.where(F.col("year") == test_year)
+        else:
+            slim = [c for c in columns if c not in IDS]
+            held = out_of_fold(dev, kind, columns)
+            final = predict_candidate(dev.select(*IDS, *slim), test.select(*IDS, *slim), CROP, kind, columns).select(*IDS, "predicted")
+        errors.append(regression_metrics(held, CROP).select(*CROP, F.col("mae").alias("dev_mae")).withColumns(tag))
+        finals.append(final.withColumns(tag))
     selection = scale.cut_lineage(reduce(DataFrame.unionByName, errors))
     model_rows = F.col("position") > 0
     best = selection.groupBy(*CROP).agg(
@@ -149,7 +164,8 @@ def holdout_with_margin(table: DataFrame, *, test_year: int, min_rows: int = 10,
         *CROP, F.col("mae").alias("test_mae_chosen"), F.col("baseline_mae").alias("test_mae_baseline"),
         F.col("rmse").alias("test_rmse_chosen"), F.col("bias").alias("test_bias_chosen"),
         F.col("skill").alias("test_mae_skill"))
-    results = status.join(choice.drop("chosen"), CROP, "left").join(final, CROP, "left")
+    results = status.join(choice.drop("chosen"), CROP, "left").join(final, CROP, "left") \
+        .withColumn("min_improvement", F.lit(float(min_improvement)))
     return selection, results, predictions
 
 

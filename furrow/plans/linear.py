@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow import scale
 
@@ -15,6 +17,8 @@ SEASON_ALPHAS = [0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0]
 # Wider tables switch from generated sum expressions to Arrow-batched matrix products.
 MAX_EXPRESSION_FEATURES = 14
 FANIN = 64
+#: Rows of a key that meet its eigenvectors at once.
+LOO_CHUNK_ROWS = 4_096
 
 
 def impute_median(df: DataFrame, keys: list[str], features: list[str], *, training: Column | None = None,
@@ -148,55 +152,60 @@ def ridge_loo(df: DataFrame, keys: list[str], features: list[str], label: str,
               alphas: list[float] = LOO_ALPHAS) -> DataFrame:
     """Ridge per key with the penalty of lowest leave-one-out squared error.
 
-    Three distributed passes: moments, leave-one-out errors of all penalties at
-    once through each key's eigenvectors, and the final solve.
+    Moments give each key's eigenvectors, solved in tasks. Complete rows meet them in chunks of a bounded size, so a key of
+    any size is many rows and its eigenvectors are copied once a chunk; one pass gives the errors of all penalties. NULL keys are a key.
     """
+    if not keys:
+        return ridge_loo(df.withColumn("__one", F.lit(0)), ["__one"], features, label, alphas).drop("__one")
     p = len(features)
     gram = scale.cut_lineage(moments(df, keys, features, label))
-    bytes_per_key = 8 * (p + 2) ** 2
-    chunks = max(1, -(-gram.count() * bytes_per_key // scale.MAX_BROADCAST_BYTES))
-    errors = None
-    for chunk in range(chunks):
-        place = F.pmod(F.xxhash64(*keys), F.lit(chunks)) == chunk if chunks > 1 else F.lit(True)
-        part = _loo_errors(df.where(place), gram.where(place).collect(), keys, features, label, alphas)
-        errors = part if errors is None else errors.unionByName(part)
-    best = errors.groupBy(*keys, "__alpha").agg(F.sum("__sse").alias("__sse")).groupBy(*keys).agg(
-        F.min_by("__alpha", F.struct("__sse", "__alpha")).alias("__best"))
+    spectra = scale.cut_lineage(_spectra(gram.withColumn("__n", F.get("moments", F.lit(0))), keys, p))
+    names = [f"__x{i}" for i in range(p + 1)]
+    rows = scale.complete(df.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip([*features, label], names)]), names)
+    place = F.pmod(F.xxhash64(*names), F.ceil(F.col("__n") / LOO_CHUNK_ROWS))
+    chunks = scale.attach(rows, spectra.select(*keys, "__n"), keys).groupBy(*keys, place.alias("__chunk")) \
+        .agg(F.flatten(F.collect_list(F.array(*names))).alias("__z"))
+    errors = _loo_errors(scale.attach(chunks, spectra, keys), keys, p, alphas)
+    # Rounded so that penalties with equal error tie, whatever the summation order.
+    sums = errors.groupBy(*keys, "__alpha").agg(F.sum("__sse").alias("__sse"))
+    best = sums.groupBy(*keys).agg(F.min_by("__alpha", F.struct(F.round("__sse", 9), "__alpha")).alias("__best"))
     return fit_linear(scale.attach(gram, best, keys), keys, p, "__best")
 
 
-def _loo_errors(df: DataFrame, gram_rows, keys, features, label, alphas) -> DataFrame:
-    p = len(features)
-    fitted = {}
-    for row in gram_rows:
-        n, mean_x, mean_y, sd, gram, cross = centred_moments(row["moments"], p)
-        lam, vec = np.linalg.eigh(gram)
-        fitted[tuple(row[k] for k in keys)] = (n, mean_x, mean_y, sd, np.clip(lam, 0, None), vec, vec.T @ cross)
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
-    names = [f"__x{i}" for i in range(p)]
-    rows = scale.complete(df.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)],
-                                    F.col(label).cast("double").alias("__y")), [*names, "__y"])
+def _spectra(gram: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Per key n, and in one array: label mean, feature means and deviations, eigenvalues, projected cross products, eigenvectors."""
+    def decompose(batches):
+        for batch in batches:
+            out = []
+            for flat in batch.column("moments").to_pylist():
+                n, mean_x, mean_y, sd, inner, cross = centred_moments(flat, p)
+                lam, vec = np.linalg.eigh(inner)
+                out.append(np.concatenate([[mean_y], mean_x, sd, np.clip(lam, 0, None), vec.T @ cross, vec.ravel()]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("__n"), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "__n", "__spectrum"])
+    schema = T.StructType([*[gram.schema[k] for k in keys], T.StructField("__n", T.DoubleType()), T.StructField("__spectrum", T.ArrayType(T.DoubleType()))])
+    return gram.select(*keys, "moments", "__n").mapInArrow(decompose, schema)
+
+
+def _loo_errors(chunks: DataFrame, keys: list[str], p: int, alphas: list[float]) -> DataFrame:
+    """(keys, __alpha, __sse) for each chunk of rows (__z: features and label, row after row)."""
     penalties = np.asarray(alphas, dtype=float)
 
     def errors(batches):
-        total: dict = {}
         for batch in batches:
-            for key, part in batch.groupby(keys, dropna=False, sort=False):
-                key = key if isinstance(key, tuple) else (key,)
-                key = tuple(k.item() if hasattr(k, "item") else k for k in key)
-                n, mean_x, mean_y, sd, lam, vec, proj = shared.value[key]
-                q = ((part[names].to_numpy(dtype=float) - mean_x) / sd) @ vec
+            out = []
+            for z, n, spectrum in zip(batch.column("__z"), batch.column("__n").to_pylist(), batch.column("__spectrum")):
+                z, spectrum = z.values.to_numpy().reshape(-1, p + 1), spectrum.values.to_numpy()
+                mean_y, (mean_x, sd, lam, proj), vec = spectrum[0], spectrum[1:1 + 4 * p].reshape(4, p), spectrum[1 + 4 * p:].reshape(p, p)
+                q = ((z[:, :p] - mean_x) / sd) @ vec
                 shrink = 1.0 / (lam[:, None] + penalties[None, :])
-                fit = q @ (proj[:, None] * shrink)
                 leverage = 1.0 / n + (q * q) @ shrink
-                residual = part["__y"].to_numpy(dtype=float)[:, None] - mean_y - fit
-                total[key] = total.get(key, 0.0) + ((residual / np.maximum(1.0 - leverage, 1e-12)) ** 2).sum(axis=0)
-        if total:
-            yield pd.DataFrame([[*key, float(a), float(s)] for key, sse in total.items()
-                                for a, s in zip(penalties, sse)], columns=[*keys, "__alpha", "__sse"])
-
-    fields = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
-    return rows.mapInPandas(errors, fields + "__alpha double, __sse double")
+                residual = z[:, p:] - mean_y - q @ (proj[:, None] * shrink)
+                out.append(((residual / np.maximum(1.0 - leverage, 1e-12)) ** 2).sum(axis=0))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(out, pa.list_(pa.float64()))], names=[*keys, "__sse"])
+    schema = T.StructType([*[chunks.schema[k] for k in keys], T.StructField("__sse", T.ArrayType(T.DoubleType()))])
+    each = chunks.select(*keys, "__z", "__n", "__spectrum").mapInArrow(errors, schema)
+    listed = F.arrays_zip(F.array(*[F.lit(float(a)) for a in alphas]).alias("__alpha"), F.col("__sse"))
+    return each.select(*keys, F.explode(listed).alias("e")).select(*keys, F.col("e.__alpha").alias("__alpha"), F.col("e.__sse").alias("__sse"))
 
 
 def season_ridge(df: DataFrame, keys: list[str], features: list[str], label: str, year: str = "year",

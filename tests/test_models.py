@@ -32,17 +32,20 @@ def brute_loo(x, y, alphas):
 
 
 @pytest.mark.parametrize("width", [3, 20])
-def test_ridge_loo_matches_leaving_rows_out(spark, width):
+def test_ridge_loo_matches_leaving_rows_out(spark, monkeypatch, width):
+    monkeypatch.setattr(linear, "LOO_CHUNK_ROWS", 7)
     rng = np.random.default_rng(width)
     rows, want = [], {}
-    for crop in ("a", "b"):
+    for crop in ("a", "b", None):
         x = rng.normal(size=(40, width)) * rng.uniform(0.5, 3, width)
         y = 10 + 2 * x[:, 0] - x[:, 1] + rng.normal(size=40)
         want[crop] = brute_loo(x, y, linear.LOO_ALPHAS)
         rows += [(crop, *map(float, r), float(t)) for r, t in zip(x, y)]
     names = [f"x{i}" for i in range(width)]
     df = spark.createDataFrame(rows, "crop string, " + ", ".join(f"{n} double" for n in names) + ", y double").repartition(3)
-    for r in linear.ridge_loo(df, ["crop"], names, "y").collect():
+    got = linear.ridge_loo(df, ["crop"], names, "y").collect()
+    assert len(got) == 3
+    for r in got:
         alpha, coef, intercept = want[r.crop]
         assert r.alpha == pytest.approx(alpha)
         assert np.allclose(r.coef, coef) and r.intercept == pytest.approx(intercept)
@@ -227,9 +230,9 @@ def test_bundle(spark, tmp_path):
         bundle.predict_bundle(loaded, test.drop("field_EVI_jul"))
     loaded.crops.withColumn("training_mean", F.col("training_mean") + 1).write.mode("overwrite").parquet(str(tmp_path / "c"))
     spark.read.parquet(str(tmp_path / "c")).write.mode("overwrite").parquet(f"{path}/crops")
-    with pytest.raises(ValueError, match="changed after saving"):
+    with pytest.raises(ValueError, match="crops"):
         bundle.load_bundle(spark, path)
-    with pytest.raises(ValueError, match="three development years"):
+    with pytest.raises(ValueError, match="only 2 seasons"):
         bundle.fit_bundle(table.where("year > 2022"), regions, test_year=2025)
 
 
@@ -254,7 +257,7 @@ def test_field_benchmark_finds_a_planted_signal(spark):
 def test_shallow_boosted_candidate(spark):
     rows = [(f"f{i}", f"s{i % 4}", 2020 + i % 3, "oats", "bu/ac", float(i % 10) if i % 9 else None, 5.0 * (i % 10)) for i in range(60)]
     df = spark.createDataFrame(rows, "field_key string, section_key string, year int, crop string, yield_unit string, x double, yield double")
-    scores, _ = benchmark.benchmark_field_yield(df, kinds=("gbm",), sets={"x": ["x"]}, splits=("year",), iterations=10)
+    scores, _ = benchmark.benchmark_field_yield(df, kinds=("gbm",), sets={"x": ["x"]}, splits=("year",), iterations=30)  # every tree counts 0.05, also the first
     assert {r.model: r.mae_skill for r in scores.collect()}["gbm"] > 0.3
 
 
@@ -268,7 +271,7 @@ def test_pixel_yield_by_year(spark):
     by_year = {r.year: r.m for r in predictions.groupBy("year").agg(F.avg("pred_mean_baseline").alias("m")).collect()}
     truth = {r.year: r.m for r in df.groupBy("year").agg(F.avg("yield_bu_ac").alias("m")).collect()}
     assert by_year == pytest.approx({2020: truth[2021], 2021: truth[2020]}) and base.cv_splits == 2 and base.pixel_count == 48
-    with pytest.raises(ValueError, match="constant"):
+    with pytest.raises(ValueError, match="nonleaky"):
         benchmark.pixel_yield_cv(df.drop("NDVI_max"), split="year", drop_year_constant=True)
 
 
