@@ -265,19 +265,31 @@ def season_ridge(spark, sf):
 QUERIES["season_ridge"] = season_ridge
 
 
+DRAW = "CAST('0x' || substr(md5({key} || ':' || '{seed}'), 1, 15) AS BIGINT)"
+
+
 def grouped_folds(spark, sf):
     rows = field_table(spark, sf)
     return folds.fold_table(rows, "field_key", 5, stratify="crop")
 
 
 QUERIES["grouped_fold_table"] = grouped_folds
+ORACLES["grouped_fold_table"] = f"""WITH f AS (SELECT CAST(o_custkey AS VARCHAR) AS field_key, c_mktsegment AS crop, count(DISTINCT year(o_orderdate)) AS n
+   FROM orders JOIN customer ON o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY ALL),
+ c AS (SELECT field_key, sum(n) AS size, arg_max(crop, (n, crop)) AS class FROM f GROUP BY 1),
+ d AS (SELECT *, {DRAW.format(key='field_key', seed=42)} AS draw FROM c),
+ o AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM d WINDOW w AS (ORDER BY size DESC, draw, field_key)),
+ t AS (SELECT *, i < 5 AND bool_and(i < 5 AND size * (5 - i) >= total - before) OVER (ORDER BY i) AS alone FROM o),
+ k AS (SELECT count(*) FILTER (alone) AS own, greatest(1, 5 - count(*) FILTER (alone)) AS rest FROM t),
+ p AS (SELECT t.*, own, rest, row_number() OVER (PARTITION BY class ORDER BY size DESC, draw, field_key) - 1 + CAST('0x' || md5(class)[1:15] AS BIGINT) % rest AS place FROM t, k WHERE NOT alone)
+ SELECT field_key, CAST(i AS INT) AS fold FROM t WHERE alone
+ UNION ALL SELECT field_key, CAST(own + CASE WHEN (place // rest) % 2 = 0 THEN place % rest ELSE rest - 1 - place % rest END AS INT) FROM p"""
 
 
 def grouped_holdout(spark, sf):
     return folds.grouped_holdout(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey")
 
 
-DRAW = "CAST('0x' || substr(md5({key} || ':' || '{seed}'), 1, 15) AS BIGINT)"
 QUERIES["grouped_holdout"] = grouped_holdout
 ORACLES["grouped_holdout"] = f"""WITH g AS (SELECT c_nationkey, row_number() OVER (ORDER BY {DRAW.format(key='c_nationkey', seed=42)}, c_nationkey) AS r, count(*) OVER () AS n
    FROM (SELECT DISTINCT c_nationkey FROM customer)) SELECT c_custkey, c_nationkey, r <= ceil(0.25 * n) AS is_test FROM customer JOIN g USING (c_nationkey)"""

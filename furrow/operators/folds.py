@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow import scale
 
-# A group with more than this part of all rows is large. There are fewer large groups than this number, whatever the size.
-MAX_PLACED_GROUPS = 20_000
+# Draws of a class and size are ranked in so many cells (a power of two), which are then counted.
+CELL_BITS = 12
 
 
 def spatial_group(pid: str = "pid", prefix: int = 6) -> Column:
@@ -24,58 +24,36 @@ def _hash(column: str, seed: int) -> Column:
 def fold_table(df: DataFrame, group: str, folds: int, *, seed: int = 42, stratify: str | None = None) -> DataFrame:
     """(group, fold): whole groups spread so folds, and classes within folds, stay even.
 
-    Only group histograms are looked at. Large groups are placed largest first, each in the fold where it leaves row
-    counts (or class counts) most even. All others are dealt out within their main class: in the order of a draw, each
-    goes to the fold that its place in the running row count falls in, so every fold gets the same share of a class.
+    A group that is larger than an even share of what the larger ones leave has a fold of its own; there are fewer of these than folds. All others are dealt
+    out within their main class, largest first and in the order of a draw among equals, to and fro over the remaining folds; a class begins at a fold drawn by its name.
+    Only group counts are looked at. Their ranks come from counted cells of (class, size, draw), so no class meets in one task.
     """
     if stratify:
-        counts = df.groupBy(group, stratify).agg(F.count("*").alias("n")).groupBy(group).agg(
-            F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct(F.col(stratify).cast("string"), "n")))
-            .alias("classes"), F.max_by(F.col(stratify).cast("string"), F.struct("n", F.col(stratify).cast("string"))).alias("__class"))
+        name = F.col(stratify).cast("string")
+        counts = df.groupBy(group, stratify).agg(F.count("*").alias("n")).groupBy(group).agg(F.sum("n").alias("rows"), F.max_by(name, F.struct("n", name)).alias("__class"))
     else:
-        counts = df.groupBy(group).agg(F.count("*").alias("rows"), F.lit(None).cast("map<string,bigint>").alias("classes"),
-                                       F.lit(None).cast("string").alias("__class"))
-    counts = scale.cut_lineage(counts.withColumn("draw", _hash(group, seed)))
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    large = F.col("rows") * MAX_PLACED_GROUPS > total
-    head = counts.where(large).orderBy(F.desc("rows"), "draw", group).collect()
-    spark = df.sparkSession
-    placed = spark.createDataFrame([(row[group], fold) for row, fold in zip(head, _place(head, folds))],
-                                   f"`{group}` {counts.schema[group].dataType.simpleString()}, fold int")
-    small = counts.where(~large).withColumn("__class", F.coalesce("__class", F.lit("")))
-    if small.isEmpty():
-        return placed
-    tail = scale.prefix_sums(small, ["__class"], [F.col("draw"), F.col(group)], {"__to": F.col("rows")})
-    tail = scale.with_group_stats(tail, ["__class"], {"__all": F.sum("rows")})
-    dealt = tail.select(group, F.floor((F.col("__to") - F.col("rows") / 2) * folds / F.col("__all")).cast("int").alias("fold"))
-    return placed.unionByName(dealt)
-
-
-def _place(groups, folds: int) -> list[int]:
-    import numpy as np
-
-    names = sorted({c for g in groups for c in (g.classes or {})})
-    if not names:
-        load, out = np.zeros(folds), []
-        for g in groups:
-            fold = int(load.argmin())
-            load[fold] += g.rows
-            out.append(fold)
-        return out
-    totals = np.array([sum((g.classes or {}).get(c, 0) for g in groups) for c in names], dtype=float)
-    load, out = np.zeros((folds, len(names))), []
-    for g in groups:
-        add = np.array([(g.classes or {}).get(c, 0) for c in names], dtype=float)
-        # Share of each class per fold if the group went there; the most even choice wins, then the emptiest.
-        unevenness = []
-        for fold in range(folds):
-            trial = load.copy()
-            trial[fold] += add
-            unevenness.append((round(float((trial / totals).std(axis=0).mean()), 12), load[fold].sum(), fold))
-        fold = min(unevenness)[2]
-        load[fold] += add
-        out.append(fold)
-    return out
+        counts = df.groupBy(group).agg(F.count("*").alias("rows"), F.lit("").alias("__class"))
+    counts = scale.cut_lineage(counts.withColumns({"draw": _hash(group, seed), "__class": F.coalesce("__class", F.lit(""))}))
+    total = F.lit(counts.agg(F.sum("rows")).first()[0] or 0)
+    largest = Window.partitionBy(F.lit(0)).orderBy(F.desc("rows"), "draw", group)
+    above = largest.rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as folds.
+    top = counts.orderBy(F.desc("rows"), "draw", group).limit(folds).withColumns({"fold": F.row_number().over(largest) - 1, "__before": F.coalesce(F.sum("rows").over(above), F.lit(0))})
+    fits = F.col("rows") * (folds - F.col("fold")) < total - F.col("__before")
+    own = scale.cut_lineage(top.withColumn("__fits", F.max(fits).over(largest)).where(~F.col("__fits")).select(group, F.col("fold").cast("int").alias("fold")))
+    alone = own.count()
+    marked = counts.join(F.broadcast(own.select(F.col(group).alias("__own"))), F.col(group).eqNullSafe(F.col("__own")), "left_anti") \
+        .withColumn("__cell", F.shiftright("draw", 60 - CELL_BITS))
+    cell = ["__class", "rows", "__cell"]
+    before = Window.partitionBy("__class").orderBy(F.desc("rows"), "__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy(*cell).agg(F.count("*").alias("__n")).select(*cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    ranked = scale.attach(marked.withColumn("__at", F.row_number().over(Window.partitionBy(*cell).orderBy("draw", group))), starts, cell)
+    left = max(1, folds - alone)
+    place = F.col("__start") + F.col("__at") - 1 + F.pmod(F.conv(F.substring(F.md5("__class"), 1, 15), 16, 10).cast("bigint"), F.lit(left))
+    step = F.pmod(place, F.lit(left))
+    forward = F.pmod(F.floor(place / left), F.lit(2)) == 0
+    dealt = ranked.select(group, (alone + F.when(forward, step).otherwise(left - 1 - step)).cast("int").alias("fold"))
+    return own.unionByName(dealt)
 
 
 def assign_folds(df: DataFrame, table: DataFrame, group: str) -> DataFrame:

@@ -82,11 +82,21 @@ def test_grouped_folds(spark):
     assert held.where("is_test").select("g").distinct().count() == -(-df.select("g").distinct().count() // 4)
 
 
-def test_fold_tail_goes_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(folds, "MAX_PLACED_GROUPS", 5)
-    df = spark.createDataFrame([(f"g{i % 40}",) for i in range(200)], "g string")
-    table = folds.fold_table(df, "g", 3)
-    assert table.count() == 40 and {r.fold for r in table.collect()} == {0, 1, 2}
+@pytest.mark.parametrize("bits", [12, 1])
+def test_folds_are_dealt_within_classes(spark, monkeypatch, bits):
+    monkeypatch.setattr(folds, "CELL_BITS", bits)
+    rows = [(f"g{i % 40}", "ab"[i % 40 % 2]) for i in range(200)]
+    rows += [(None, "a")] * 3 + [("g1", None)]
+    df = spark.createDataFrame(rows, "g string, crop string")
+    table = folds.fold_table(df, "g", 4, stratify="crop")
+    got = {r.g: r.fold for r in table.collect()}
+    assert len(got) == table.count() == 41
+    for crop in "ab":
+        sizes = [sum(got[f"g{i}"] == k for i in range(40) if "ab"[i % 2] == crop) for k in range(4)]
+        assert max(sizes) - min(sizes) <= 2
+    assert folds.fold_table(df.limit(0), "g", 4, stratify="crop").count() == 0
+    few = folds.fold_table(spark.createDataFrame([("x",), ("y",), ("y",)], "g string"), "g", 5)
+    assert few.select("fold").distinct().count() == 2
 
 
 def test_ranking_scores(spark):
