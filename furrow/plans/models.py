@@ -371,25 +371,87 @@ def pixel_classifier(df: DataFrame, features: list[str], *, label: str = "crop",
 # --- regression benchmarks ------------------------------------------------
 
 def knn_regress(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5, *,
-                block: int = 10_000) -> DataFrame:
+                block: int = 10_000, pivots: int = 256) -> DataFrame:
     """Mean label of the k nearest training rows by Euclidean distance, ties by key.
 
-    Both sides are cut into blocks of bounded size and every pair of blocks meets
-    in one task as two matrices. A task returns only the best k of each test row,
-    which are merged; pairs of rows are never written out.
+    Training rows belong to the nearest of some pivots, drawn by a hash (at most ``pivots``). A cell's radius, and its rows nearest to the
+    pivot, bound by the triangle inequality how near its rows can be to a test row and how far the k-th nearest is at most, so a test row meets only cells that may hold one of
+    its k. Cells are cut into blocks of bounded size, test rows into blocks by their own cell; a pair of blocks that has anything to compare meets in one task as two matrices. A task returns only the best k of
+    each test row, which are merged; pairs of rows are never written out. Rows without a vector are left out.
     """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
     kind = test.schema[key].dataType.simpleString()
     train = train.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"),
-                         F.col(label).cast("double").alias("y"))
-    test = test.select(F.col(key).alias("__key"), F.col(vector).cast("array<double>").alias("__v"))
-    left, right = [max(1, -(-df.count() // block)) for df in (test, train)]
-
-    def blocked(df: DataFrame, own: str, of: int, other: str, others: int, by: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(of)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+                         F.col(label).cast("double").alias("y")).where("v is not null")
+    test = test.select(F.col(key).alias("__key"), F.col(vector).cast("array<double>").alias("__v")).where("__v is not null")
+    wanted = min(pivots, 4 * max(1, -(-train.count() // block)))
+    chosen = [r.v for r in train.orderBy(F.xxhash64("k"), "k").limit(wanted).select("v").collect()]
+    if not chosen:
+        return test.select(F.col("__key").alias(key), F.lit(None).cast("double").alias("predicted"))
+    centres = np.array(chosen)
+
+    def apart(column: pa.ListArray) -> np.ndarray:
+        """Distances of an Arrow column of vectors to all pivots."""
+        v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return np.sqrt(np.maximum((v ** 2).sum(axis=1)[:, None] + (centres ** 2).sum(axis=1)[None, :] - 2 * v @ centres.T, 0.0))
+
+    def in_cells(batches):
+        for batch in batches:
+            if batch.num_rows:
+                distance = apart(batch.column("v"))
+                cell = distance.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance.min(axis=1))], names=["k", "v", "y", "cell", "r"])
+
+    def reach(batches):
+        """Per cell of a task: rows, largest distance to the pivot and the k smallest ones."""
+        sizes, near = np.zeros(len(centres), dtype=np.int64), [np.zeros(0)] * len(centres)
+        far = np.zeros(len(centres))
+        for batch in batches:
+            cell, r = batch.column("cell").to_numpy(), batch.column("r").to_numpy()
+            for c in np.unique(cell):
+                own = r[cell == c]
+                sizes[c] += len(own)
+                far[c] = max(far[c], own.max())
+                near[c] = np.sort(np.concatenate([near[c], own]))[:k]
+        some = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sizes[some]), pa.array(far[some]), pa.array([near[c] for c in some], pa.list_(pa.float64()))], names=["cell", "n", "far", "near"])
+
+    celled = scale.cut_lineage(train.mapInArrow(in_cells, f"k {kind}, v array<double>, y double, cell int, r double"))
+    summary = celled.select("cell", "r").mapInArrow(reach, "cell int, n bigint, far double, near array<double>").groupBy("cell").agg(
+        F.sum("n").alias("n"), F.max("far").alias("far"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    cells = {r.cell: r for r in summary.collect()}  # a row for each pivot at most
+    places = np.array(sorted(cells))
+    far = np.array([cells[c].far for c in places])
+    blocks = {int(c): -(-cells[c].n // block) for c in places}
+    spread = np.full((len(places), k), np.inf)
+    for i, c in enumerate(places):
+        spread[i, :len(cells[c].near)] = cells[c].near
+
+    def to_cells(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                distance = apart(part.column("__v"))[:, places]
+                # The k-th smallest of what the triangle inequality allows at most.
+                upper = (distance[:, :, None] + spread[None]).reshape(part.num_rows, -1)
+                bound = np.partition(upper, min(k, upper.shape[1]) - 1, axis=1)[:, min(k, upper.shape[1]) - 1]
+                may = distance - far <= (bound * (1 + 1e-9) + 1e-9)[:, None]
+                meets = [[{"cell": int(c), "sub": sub} for c in places[row] for sub in range(blocks[int(c)])] for row in may]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(places[distance.argmin(axis=1)].astype(np.int32)), pa.array(meets, pa.list_(pa.struct([("cell", pa.int32()), ("sub", pa.int32())])))],
+                                                 names=["__key", "__v", "home", "meets"])
+
+    asked = scale.cut_lineage(test.mapInArrow(to_cells, f"__key {kind}, __v array<double>, home int, meets array<struct<cell:int,sub:int>>"))
+    homes = asked.groupBy("home").agg(F.ceil(F.count("*") / block).alias("__parts"))
+    asked = asked.join(F.broadcast(homes), "home").withColumn("lot", F.pmod(F.xxhash64("__key"), F.col("__parts")).cast("int"))
+    pair = ["home", "lot", "cell", "sub"]
+    asked = asked.select("__key", "__v", "home", "lot", F.explode("meets").alias("m")).select("__key", "__v", "home", "lot", "m.*")
+    of = F.element_at(F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)]), F.col("cell"))
+    known = celled.withColumn("sub", F.pmod(F.xxhash64("k"), of).cast("int"))
+    met = asked.select(*[F.col(c).alias(f"b_{c}") for c in pair]).distinct()
+    known = known.join(met, (F.col("cell") == F.col("b_cell")) & (F.col("sub") == F.col("b_sub"))).select("k", "v", "y", *[f"b_{c}" for c in pair])
 
     def nearest(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(base):
@@ -406,8 +468,7 @@ def knn_regress(train: DataFrame, test: DataFrame, key: str, vector: str, label:
                 "y": base["y"].to_numpy()[take].ravel()}))
         return pd.concat(parts, ignore_index=True)
 
-    pairs = blocked(test, "__tb", left, "__bb", right, "__key").groupBy("__tb", "__bb").cogroup(
-        blocked(train, "__bb", right, "__tb", left, "k").groupBy("__tb", "__bb"))
+    pairs = asked.groupBy(*pair).cogroup(known.groupBy(*[f"b_{c}" for c in pair]))
     found = pairs.applyInPandas(nearest, f"__key {kind}, k {kind}, d double, y double")
     best = F.slice(F.array_sort(F.collect_list(F.struct(F.round("d", 12).alias("d"), "k", "y"))), 1, k)
     total = F.aggregate("n", F.lit(0.0), lambda a, e: a + e["y"])

@@ -296,6 +296,20 @@ def test_knn_blocks(spark):
         assert got == pytest.approx(want)
 
 
+def test_knn_meets_near_cells_only(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(12, 4)) * 50
+    x = np.concatenate([c + rng.normal(size=(40, 4)) for c in centre] + [np.tile(centre[0], (60, 1))])
+    y = rng.normal(size=len(x))
+    q = np.concatenate([c + rng.normal(size=(3, 4)) for c in centre] + [rng.normal(size=(3, 4)) * 200])
+    train = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))] + [(10_000, None, 1.0)], "id long, v array<double>, y double")
+    test = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(900, None)], "id long, v array<double>")
+    want = {i: y[np.argsort(np.round(((x - p) ** 2).sum(1), 12), kind="stable")[:5]].mean() for i, p in enumerate(q)}
+    out = models.knn_regress(train, test, "id", "v", "y", block=20, pivots=64)
+    assert {r.id: r.predicted for r in out.collect()} == pytest.approx(want)
+    assert models.knn_regress(train.limit(0), test, "id", "v", "y").where("predicted is not null").count() == 0
+
+
 def separable(spark):
     rng = np.random.default_rng(1)
     rows = []
