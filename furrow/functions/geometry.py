@@ -93,6 +93,16 @@ def edges(polys: Column) -> Column:
     return F.filter(F.flatten(F.transform(F.flatten(polys), ring_edges)), lambda e: e["slope"].isNotNull())
 
 
+def edge_boxes(polys: Column) -> Column:
+    """The box of every ring's edges, level ones too."""
+    def of_ring(ring: Column) -> Column:
+        following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        return F.zip_with(ring, following, lambda p, q: F.struct(
+            F.least(_lon(p), _lon(q)).alias("x_min"), F.greatest(_lon(p), _lon(q)).alias("x_max"),
+            F.least(_lat(p), _lat(q)).alias("y_min"), F.greatest(_lat(p), _lat(q)).alias("y_max")))
+    return F.flatten(F.transform(F.flatten(polys), of_ring))
+
+
 def inside(polygon_edges: Column, lon: Column, lat: Column) -> Column:
     """Even-odd ray test of a point against prepared edges."""
     crossed = F.filter(polygon_edges, lambda e: ((e["y1"] > lat) != (e["y2"] > lat))

@@ -9,7 +9,7 @@ from furrow import scale
 from furrow.columns import (
     FRACTION_CODES, HARVEST_CROP_CODES, MONTHS, REGION_CODE_TO_CROP, SEASONAL_WINDOWS,
 )
-from furrow.functions.geometry import bounding_box, edges, inside
+from furrow.functions.geometry import bounding_box, edge_boxes, edges, inside
 from furrow.operators.composites import months_wide
 
 
@@ -127,26 +127,43 @@ def bbox_union(parcels: DataFrame, keys: list[str] = []) -> DataFrame:
                                     F.max("b.lon_max").alias("lon_max"), F.max("b.lat_max").alias("lat_max"))
 
 
+#: Cells that a parcel's box spans at most along each side, but for one at the border.
+COVER_CELLS = 4
+
+
 def zonal_join(pixels: DataFrame, parcels: DataFrame, *, lon: str = "lon", lat: str = "lat",
                cell: tuple[float, float] = (0.01, 0.01)) -> DataFrame:
     """Attach each pixel to every parcel whose polygon holds it.
 
-    Parcels are listed under every grid cell (lon size, lat size) their box touches;
-    cells about as large as a parcel keep candidates few. The join is an
-    equi-join on the cell with an exact ray test. Small parcel sets are broadcast;
+    Cells come in levels, each twice as wide as the one below. A parcel is listed at the level at which its box spans at most COVER_CELLS cells a side, so the rows
+    for a parcel are bounded, however large it is; a pixel is looked up at the levels that occur. Cells that no edge comes near are all inside, and need
+    no ray test, or all outside, and are left out. The join is an equi-join on the cell. Small parcel sets are broadcast;
     otherwise a crowded cell is spread by salting its pixels.
     """
     box = bounding_box(F.col("polys"))
 
-    def index(value: Column, size: float) -> Column:
-        return F.floor(value / F.lit(size))
-
-    cells = parcels.select("pid", edges(F.col("polys")).alias("__edges"), box.alias("__box")).select(
-        "pid", "__edges", "__box",
-        F.explode(F.sequence(index(F.col("__box.lon_min"), cell[0]), index(F.col("__box.lon_max"), cell[0]))).alias("__cx")).select(
-        "pid", "__edges", "__cx", "__box",
-        F.explode(F.sequence(index(F.col("__box.lat_min"), cell[1]), index(F.col("__box.lat_max"), cell[1]))).alias("__cy"))
-    keyed = pixels.withColumns({"__cx": index(F.col(lon), cell[0]), "__cy": index(F.col(lat), cell[1])})
-    held = F.col(lon).between(F.col("__box.lon_min"), F.col("__box.lon_max")) & F.col(lat).between(
-        F.col("__box.lat_min"), F.col("__box.lat_max")) & inside(F.col("__edges"), F.col(lon), F.col(lat))
-    return scale.skew_join(keyed, cells, ["__cx", "__cy"], "inner", condition=held).select(*pixels.columns, "pid")
+    spans = F.greatest((F.col("__box.lon_max") - F.col("__box.lon_min")) / cell[0], (F.col("__box.lat_max") - F.col("__box.lat_min")) / cell[1])
+    level = F.greatest(F.lit(0), F.ceil(F.log2(spans / (COVER_CELLS - 1)))).cast("int")
+
+    def size(axis: int) -> Column:
+        return F.lit(cell[axis]) * F.pow(F.lit(2.0), F.col("__level"))
+
+    def covered(low: str, high: str, axis: int) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(f"__box.{low}") / size(axis)), F.floor(F.col(f"__box.{high}") / size(axis))))
+
+    listed = parcels.select("pid", edges(F.col("polys")).alias("__edges"), edge_boxes(F.col("polys")).alias("__near"), box.alias("__box")).where("__box.lon_min IS NOT NULL AND __box.lat_min IS NOT NULL").withColumn("__level", F.coalesce(level, F.lit(0)))
+    cells = listed.withColumn("__cx", covered("lon_min", "lon_max", 0)).withColumn("__cy", covered("lat_min", "lat_max", 1))
+    left, low = F.col("__cx") * size(0), F.col("__cy") * size(1)
+    right, high = left + size(0), low + size(1)
+    # An edge's own box is wider than the edge, so a cell without one near it has no boundary in it. The margin is for rounding.
+    wide, tall = size(0) * 1e-9, size(1) * 1e-9
+    crossed = F.exists("__near", lambda e: (e["x_min"] <= right + wide) & (e["x_max"] >= left - wide) & (e["y_min"] <= high + tall) & (e["y_max"] >= low - tall))
+    cells = cells.withColumn("__crossed", crossed).where(F.col("__crossed") | inside(F.col("__edges"), (left + right) / 2, (low + high) / 2)) \
+        .withColumn("__edges", F.when(F.col("__crossed"), F.col("__edges"))).drop("__crossed", "__near")
+    cells = scale.cut_lineage(cells)
+    levels = sorted(r[0] for r in cells.select("__level").distinct().collect())  # as many as doublings between the smallest and largest parcel
+    keyed = pixels.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")))
+    keyed = keyed.withColumns({"__cx": F.floor(F.col(lon) / size(0)), "__cy": F.floor(F.col(lat) / size(1))})
+    held = F.col("__edges").isNull() | (F.col(lon).between(F.col("__box.lon_min"), F.col("__box.lon_max")) & F.col(lat).between(
+        F.col("__box.lat_min"), F.col("__box.lat_max")) & inside(F.col("__edges"), F.col(lon), F.col(lat)))
+    return scale.skew_join(keyed, cells, ["__level", "__cx", "__cy"], "inner", condition=held).select(*pixels.columns, "pid")

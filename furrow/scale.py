@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_GROUP_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -51,9 +52,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
 
 
-def _row_bytes(df: DataFrame) -> int:
-    wide = {"string": 64, "array": 256, "map": 256, "struct": 128}
-    return 16 + sum(wide.get(field.dataType.typeName(), 8) for field in df.schema.fields)
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """What a value takes, about: the real length of text and arrays."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value).cast("bigint"), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+            each = F.transform(value, lambda x: _value_bytes(x, kind.elementType))
+            return F.coalesce(F.aggregate(each, F.lit(8).cast("bigint"), lambda total, x: total + x), F.lit(8))
+        fields = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+        return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)).cast("bigint") * (8 * fields) + 8
+    if isinstance(kind, T.MapType):
+        return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)).cast("bigint") * 64 + 8
+    if isinstance(kind, T.StructType):
+        return sum((_value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("bigint"))
+    return F.lit(8).cast("bigint")
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,9 +79,11 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """Hint a broadcast when a bounded count shows the table is small; else leave it alone."""
-    limit = max(1, max_bytes // _row_bytes(df))
-    small = df.limit(limit + 1).count() <= limit
+    """Hint a broadcast when the summed sizes of a bounded number of rows show the table is small; else leave it alone."""
+    most = max(1, max_bytes // (16 + 8 * len(df.columns)))
+    width = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("bigint"))
+    rows, size = df.select(width.alias("__width")).limit(most + 1).agg(F.count("*"), F.sum("__width")).first()
+    small = rows <= most and (size or 0) <= max_bytes
     return (F.broadcast(df) if small else df), small
 
 

@@ -130,6 +130,31 @@ def test_zonal_join_of_a_crowded_cell(spark, monkeypatch):
     assert sorted(r.id for r in zonal.zonal_join(points, parcels, cell=(0.3, 0.3)).collect()) == want
 
 
+def test_zonal_join_of_parcels_of_all_sizes(spark):
+    rng = random.Random(4)
+    polys, want = [], set()
+    points = [(i, round(rng.uniform(-3, 12), 3), round(rng.uniform(-3, 12), 3)) for i in range(700)]
+    for name, x, y, w, h, hole in (("large", -2.0, -1.0, 11.0, 12.0, 3.0), ("thin", 0.0, 4.005, 9.0, 0.07, 0.0), ("small", 1.0, 1.0, 0.2, 0.2, 0.0), ("dot", 5.0, 5.0, 0.004, 0.004, 0.0)):
+        rings = [[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]]
+        if hole:
+            rings.append([[x + 2, y + 2], [x + 2 + hole, y + 2], [x + 2 + hole, y + 2 + hole], [x + 2, y + 2 + hole], [x + 2, y + 2]])
+        polys.append((name, [rings]))
+        for i, a, b in points:
+            if x < a < x + w and y < b < y + h and not (hole and x + 2 < a < x + 2 + hole and y + 2 < b < y + 2 + hole):
+                want.add((i, name))
+    parcels = spark.createDataFrame([*polys, ("none", None)], "pid string, polys array<array<array<array<double>>>>")
+    df = spark.createDataFrame([*points, (999, None, 1.0)], "id int, lon double, lat double")
+    got = [(r.id, r.pid) for r in zonal.zonal_join(df, parcels, cell=(0.1, 0.05)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_broadcasts_go_by_real_sizes(spark):
+    few = spark.range(50).selectExpr("id", "array_repeat(id, 20000) v", "repeat('x', 1000) s", "array(struct(id a, 'b' b)) t", "map(id, 's') m")
+    assert not scale.broadcast_if_small(few, 2_000_000)[1]
+    assert scale.broadcast_if_small(few.drop("v"), 2_000_000)[1]
+    assert scale.broadcast_if_small(spark.range(0), 10)[1] and not scale.broadcast_if_small(spark.range(5000), 2_000)[1]
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     scale.ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
