@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,19 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs in here leaves no shuffle files: Spark removes those of each job when the job ends, instead of when the driver next collects its garbage.
+    Meant for steps that end in `stored`, of which nothing reads a shuffle again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def text_batches(spark: SparkSession) -> None:
     """From now on Python gets at most TEXT_ROWS rows at a time: the usual 10,000 whole texts would be tens of MB in each task,
     on both sides of the pipe, for as long as the worker lives. A smaller setting stays."""
