@@ -188,6 +188,47 @@ ORACLES["report_issues"] = f"""WITH r AS ({REPORT}), g AS (SELECT o_orderkey, co
  GROUP BY ALL"""
 
 
+def issue_codes(spark, sf):
+    """Every rule over every order: the key picks what is wrong with the printed operation; missing parts are empty cells."""
+    key = F.col("o_orderkey")
+
+    def cell(clean, faults):
+        chosen = clean.cast("string")
+        for fault, text in faults.items():
+            chosen = F.when(key % 20 == fault, text).otherwise(chosen)
+        return chosen
+
+    year, number = F.year("o_orderdate"), F.format_string("%d", key % 300 + 10)
+    merged = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("source_row"), F.format_string("%d harvest.xls", year + F.when(key % 20 == 1, 1).otherwise(0)).alias("source_file"),
+        F.lit("Sheet1").alias("source_sheet"), F.lit("Crop").alias("item_raw"),
+        cell(F.lit("Home SE 30-71-9 W6M"), {2: F.lit(""), 3: F.lit("Home")}).alias("field_heading_raw"),
+        cell(year, {4: F.lit("20x1"), 5: F.lit("1850")}).alias("year_raw"),
+        cell(F.date_format("o_orderdate", "M/d/yyyy"), {6: F.lit("soon"), 7: F.lit("1/2/1970")}).alias("harvest_date_raw"),
+        cell(F.lit("Barley"), {8: F.lit(""), 9: F.lit("rye and oats")}).alias("crop_raw"),
+        cell(F.concat(number, F.lit(" ac")), {10: F.concat(number, F.lit(" ha")), 11: F.lit("0 ac")}).alias("area_raw"),
+        cell(F.lit("5 bu/ac"), {12: F.lit(""), 13: F.lit("-5 bu/ac"), 14: F.lit("5 t/ac"), 15: F.lit("5 lb/ac")}).alias("yield_raw"),
+        cell(F.concat(F.col("o_orderkey") % 300 * 5 + 50, F.lit(" bu")), {
+            16: F.lit("x bu"), 17: F.lit("-1 bu"), 18: F.lit("7 t"), 19: F.lit("9,999 bu")}).alias("total_raw"))
+    issues = harvest.parse_operations(merged).select("source_row", F.explode(harvest.operation_issues()).alias("i"))
+    return issues.select("source_row", "i.severity", "i.code", "i.column", F.col("i.raw_value").alias("raw_value"))
+
+
+QUERIES["issue_codes"] = issue_codes
+ORACLES["issue_codes"] = """WITH o AS (SELECT o_orderkey AS source_row, o_orderkey % 20 AS k, CAST(year(o_orderdate) AS VARCHAR) AS y,
+   CAST(o_orderkey % 300 + 10 AS VARCHAR) AS n, CAST(o_orderkey % 300 * 5 + 50 AS VARCHAR) || ' bu' AS total FROM orders),
+ fault(k, severity, code, "column", raw) AS (VALUES
+   (1, 'error', 'file_year_mismatch', 'B', NULL), (2, 'error', 'missing_field_heading', 'A', ''), (3, 'warning', 'missing_legal_description', 'A', 'Home'),
+   (4, 'error', 'invalid_year', 'B', '20x1'), (5, 'error', 'invalid_year', 'B', '1850'), (6, 'error', 'invalid_harvest_date', 'C', 'soon'),
+   (7, 'error', 'date_year_mismatch', 'C', '1970-01-02'), (8, 'error', 'missing_crop', 'E', ''), (9, 'warning', 'unmapped_crop', 'E', 'rye and oats'),
+   (10, 'error', 'invalid_area_measurement', 'J', NULL), (11, 'error', 'invalid_area_value', 'J', '0 ac'), (11, 'error', 'area_rate_total_mismatch', 'J/L/M', NULL),
+   (12, 'error', 'invalid_yield_measurement', 'L', ''), (12, 'error', 'unsupported_yield_unit', 'L', ''), (13, 'error', 'invalid_yield_value', 'L', '-5 bu/ac'),
+   (14, 'error', 'unsupported_yield_unit', 'L', '5 t/ac'), (15, 'error', 'rate_total_unit_mismatch', 'L/M', 'lb/ac, bu'),
+   (16, 'error', 'invalid_total_measurement', 'M', 'x bu'), (16, 'error', 'unsupported_total_unit', 'M', 'x bu'), (17, 'error', 'invalid_total_value', 'M', '-1 bu'),
+   (18, 'error', 'unsupported_total_unit', 'M', '7 t'), (19, 'error', 'area_rate_total_mismatch', 'J/L/M', '9,999 bu'))
+ SELECT source_row, severity, code, "column", coalesce(raw, CASE k WHEN 1 THEN y WHEN 10 THEN n || ' ha' ELSE total END) AS raw_value FROM o JOIN fault USING (k)"""
+
+
 def processing_status(spark, sf):
     aliases = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit(" MYSTERY").alias("label"), F.lit("oats").alias("crop"))
     operations, issues = harvest.stage_reports(report_rows(spark, sf), aliases)
