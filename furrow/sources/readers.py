@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from furrow import scale
+
 FEATURE_LINE = r'^\s*\{\s*"type":\s*"Feature"\s*,'
 RINGS = "array<array<array<double>>>"
 PROPERTIES = "pid string, m string, rge string, twp string, sec string, qs string, ra string, descriptor string"
@@ -53,12 +55,89 @@ def read_crs_name(spark: SparkSession, path: str) -> str | None:
     return row[0] or None if row else None
 
 
-def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Parcels of whole-document files; many files are read in parallel, one document per task."""
-    schema = "features array<string>"
-    documents = spark.read.text(path, wholetext=True)
-    features = documents.select(F.explode(F.from_json("value", schema)["features"]).alias("line"))
-    return features.select(*feature_columns(F.col("line"))).select("__p.*", "geom_type", "polys")
+def ordered_pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """Files cut after each separator, with what restores their order: file, block (split of the file) and place.
+
+    Splits read in parallel; Spark's reader repairs the pieces at their borders. ``value`` lacks the separator.
+    """
+    return spark.read.option("lineSep", separator).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value")
+
+
+def nested_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces that end in '}' with ``closes``: the brace is no text and closes an object of the root or of a root array.
+
+    Whether a block starts inside a string, and how deep, is known from all blocks before it only. So each block
+    sums its quotes and its change of depth for both cases; prefix sums over these few rows (one for each block)
+    then tell the true case. A backslash escapes the next character; no piece can end in one outside a string.
+    """
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+
+    def change(inside: int) -> Column:
+        """Change of depth over a piece that starts outside (0) or inside (1) a string."""
+        code = F.regexp_replace(F.concat(F.lit('"' * inside), bare), '"[^"]*("|$)', "")
+        opened, closed = [F.length(F.regexp_replace(code, f"[^{c}]", "")) for c in (r"\[{", r"\]")]
+        return opened - closed - F.when((quotes + inside) % 2 == 0, 1).otherwise(0)
+
+    in_block = Window.partitionBy("file", "block").orderBy("place")
+    counted = pieces.withColumns({"quotes": quotes, "d0": change(0), "d1": change(1)}).withColumn(
+        "parity", F.sum("quotes").over(in_block) % 2)
+    starts = (F.col("parity") + F.col("quotes")) % 2
+    counted = counted.withColumns({
+        "deep0": F.sum(F.when(starts == 0, F.col("d0")).otherwise(F.col("d1"))).over(in_block),
+        "deep1": F.sum(F.when(starts == 0, F.col("d1")).otherwise(F.col("d0"))).over(in_block)})
+    stored = scale.cut_lineage(counted.select("file", "block", "place", "value", "parity", "deep0", "deep1"), wide=True)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stored.groupBy("file", "block").agg(F.max_by(F.struct("parity", "deep0", "deep1"), "place").alias("t"))
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("t.parity").over(earlier), F.lit(0)) % 2)
+    blocks = blocks.select("file", "block", "inside", F.coalesce(F.sum(
+        F.when(F.col("inside") == 0, F.col("t.deep0")).otherwise(F.col("t.deep1"))).over(earlier), F.lit(0)).alias("depth"))
+    placed = scale.attach(stored, blocks, ["file", "block"])
+    depth = F.col("depth") + F.when(F.col("inside") == 0, F.col("deep0")).otherwise(F.col("deep1"))
+    return placed.select("file", "block", "place", "value",
+                         (((F.col("inside") + F.col("parity")) % 2 == 0) & (depth <= 2)).alias("closes"))
+
+
+def split_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, text) of every object in a root array of JSON documents, read by many tasks however large a document is.
+
+    Text before an object's opening brace is cut off. The root's own objects (such as a CRS) come too, with their
+    text cut anywhere: callers keep what parses as their kind. ``at`` sorts the objects of a file. Only objects across a block's border are joined
+    between tasks; one object must fit in memory, a document need not.
+    """
+    pieces = nested_pieces(ordered_pieces(spark, path, "}"))
+    before = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = pieces.withColumn("n", F.coalesce(F.count_if("closes").over(before), F.lit(0)))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda p: p["value"])
+    # Grouped as the window was: no further shuffle.
+    parts = scale.cut_lineage(numbered.groupBy("file", "block", "n").agg(
+        F.concat(F.array_join(texts, "}"), F.lit("}")).alias("text"), F.max("closes").alias("closes")), wide=True)
+    # A block's first part may go on from an earlier block, its last one into a later block.
+    edge = (F.col("n") == 0) | ~F.col("closes")
+    order = Window.partitionBy("file").orderBy("block", "n")
+    edges = parts.where(edge).withColumn("starts", F.coalesce(F.lag("closes").over(order), F.lit(True)))
+    edges = edges.withColumn("g", F.count_if("starts").over(order))
+    joined = edges.groupBy("file", "g").agg(
+        F.min(F.struct("block", "n")).alias("at"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "text"))), lambda p: p["text"]), "").alias("text"))
+    whole = parts.where(~edge).select("file", F.struct("block", "n").alias("at"), "text").unionByName(joined.drop("g"))
+    lead = r"^(?s)(?:\s*,\s*(?=\{)|.*?\"features\"\s*:\s*\[\s*(?=\{))"
+    return whole.select("file", "at", F.regexp_replace("text", lead, "").alias("text"))
+
+
+def read_feature_collection(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
+    """Parcels of whole documents in any layout, also on one line; one document is read by many tasks.
+
+    Features without a Polygon or MultiPolygon keep NULL ``polys``; an empty collection gives no rows.
+    Rows come in the documents' order; where that is of no use, ``ordered=False`` spares a sort.
+    """
+    features = split_objects(spark, path).where(F.get_json_object("text", "$.type") == "Feature")
+    parcels = features.select("file", "at", *feature_columns(F.col("text")))
+    if ordered:
+        parcels = parcels.sort("file", "at")
+    return parcels.select("__p.*", "geom_type", "polys")
 
 
 def read_table_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
@@ -91,29 +170,36 @@ def merge_parts(spark: SparkSession, path: str | list[str], schema: StructType |
 
 
 def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the data member of each zip (not the metadata), as text columns.
+    """Rows of the data member of each zip (not the metadata), as text columns; archives of any size.
 
-    Archives are opened inside tasks and streamed in bounded chunks of lines;
-    extracted files should use ``read_table_csv``, which splits them.
+    Splits of an archive are read in parallel and streamed, in order, through one inflating task: a deflate
+    stream has no place to start but its first byte. The task holds a batch and a chunk of lines, never the
+    archive. Extracted files should use ``read_table_csv``, which splits them.
     """
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    pieces = ordered_pieces(spark, path, "\n").withColumn("value", F.col("value").cast("binary"))
+    streamed = pieces.repartition("file").sortWithinPartitions("file", "block", "place").select("file", "value")
 
     def unzip(batches):
         import io
-        import zipfile
+        from itertools import groupby
 
         import pandas as pd
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    member = next(m for m in archive.namelist() if m.endswith(".csv") and "MetaData" not in m)
-                    with archive.open(member) as raw:
-                        reader = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
-                        chunks = pd.read_csv(reader, dtype=str, keep_default_na=False, chunksize=50_000)
-                        for chunk in chunks:
-                            yield pd.DataFrame({"path": name, "cells": chunk.to_dict("records")})
-
-    return archives.mapInPandas(unzip, "path string, cells map<string,string>")
+
+        from furrow.sources import zip_stream
+
+        rows = (row for batch in batches for row in zip(batch["file"], batch["value"]))
+        for name, lines in groupby(rows, key=lambda row: row[0]):
+            archive = zip_stream.members(bytes(value) + b"\n" for _, value in lines)
+            for member, parts in archive:
+                if member.endswith(".csv") and "MetaData" not in member:
+                    break
+            else:
+                raise ValueError(f"{name}: no CSV member beside the metadata.")
+            text = io.TextIOWrapper(io.BufferedReader(zip_stream.Reader(parts)), encoding="utf-8-sig", newline="")
+            for chunk in pd.read_csv(text, dtype=str, keep_default_na=False, chunksize=50_000):
+                yield pd.DataFrame({"path": name, "cells": chunk.to_dict("records")})
+
+    return streamed.mapInPandas(unzip, "path string, cells map<string,string>")
 
 
 def cells_to_columns(cells: DataFrame, names: list[str]) -> DataFrame:

@@ -47,6 +47,31 @@ def test_whole_collection(spark, tmp_path):
     assert [r.pid for r in rows] == ["1", "2"] and rows[0].polys == rows[1].polys
 
 
+def test_one_document_is_read_by_many_tasks(spark, tmp_path):
+    odd = ["plain", "a } b", 'quote " and {', "back \\\\ slash", '}{"features": [{', "[]]", "é \n", ""]
+    features = [{"type": "Feature", "properties": {"pid": str(i), "descriptor": odd[i % 8] * (1 + i % 50)}, "id": {"of": [i, {"x": 1}]},
+                 "geometry": {"type": "Polygon", "coordinates": [[[i, 0.5], [1.0, 2.0], [i, 0.5]]]} if i % 7 else None}
+                for i in range(3000)]
+    head = {"type": "FeatureCollection", "name": "a } [ {", "crs": {"type": "name", "properties": {"name": "EPSG:4326"}}}
+    (tmp_path / "one.geojson").write_text(json.dumps({**head, "features": features}))
+    (tmp_path / "two.geojson").write_text(json.dumps({**head, "features": features[:40]}, indent=2) + "\n")
+    (tmp_path / "none.geojson").write_text(json.dumps({**head, "features": []}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        path = str(tmp_path / "one.geojson")
+        blocks = readers.ordered_pieces(spark, path, "}").select("block").distinct().count()
+        rows = readers.read_feature_collection(spark, path).collect()
+        small = readers.read_feature_collection(spark, str(tmp_path / "*o*.geojson")).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert blocks > 5
+    got = sorted((int(r.pid), r.descriptor, r.geom_type, r.polys) for r in rows)
+    want = sorted((i, f["properties"]["descriptor"], "Polygon" if f["geometry"] else None,
+                   [f["geometry"]["coordinates"]] if f["geometry"] else None) for i, f in enumerate(features))
+    assert got == want and small == 3040
+
+
 def test_parts_need_one_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("pid,x\n001,1\n002,2\n")
     (tmp_path / "b.csv").write_text("pid,x\n003,3\n")
@@ -65,6 +90,42 @@ def test_zipped_tables(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("2020", "Here"), ("2021", "There, too")]
 
 
+def test_large_archives_are_streamed(spark, tmp_path):
+    import io
+    lines = "".join(f"{i},{(i * 2654435761) % 2 ** 32},\"x, {i}\"\n" for i in range(120_000))
+    for name, kind in (("deflated", zipfile.ZIP_DEFLATED), ("stored", zipfile.ZIP_STORED)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", kind) as z:
+            z.writestr("x_MetaData.csv", "no\n" * 1000)
+            z.writestr("x.csv", "\ufeffid,hash,text\n" + lines)
+            z.writestr("later.csv", "other\n1\n")
+
+    class Pipe(io.BytesIO):
+        def seekable(self):
+            return False
+
+    pipe = Pipe()
+    with zipfile.ZipFile(pipe, "w", zipfile.ZIP_DEFLATED) as z:  # sizes follow the data, in descriptors
+        z.writestr("x_MetaData.csv", "no\n")
+        z.writestr("x.csv", "id,hash,text\n" + lines)
+    (tmp_path / "piped.zip").write_bytes(pipe.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        cells = readers.read_zipped_csv(spark, str(tmp_path / "*.zip"))
+        rows = readers.cells_to_columns(cells, ["id", "hash", "text"])
+        got = rows.selectExpr("count(*)", "count(distinct id)", "sum(cast(hash AS bigint))", "count_if(text = 'x, ' || id)").first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    n = 120_000
+    assert tuple(got) == (3 * n, n, 3 * sum((i * 2654435761) % 2 ** 32 for i in range(n)), 3 * n)
+    (tmp_path / "bad.zip").write_bytes((tmp_path / "stored.zip").read_bytes().replace(b"x, 77\"", b"x, 78\""))
+    with pytest.raises(Exception, match="wrong checksum"):
+        readers.read_zipped_csv(spark, str(tmp_path / "bad.zip")).count()
+    (tmp_path / "no.zip").write_bytes(b"PK nothing")
+    with pytest.raises(Exception, match="Not a zip"):
+        readers.read_zipped_csv(spark, str(tmp_path / "no.zip")).count()
+
+
 def test_review_file(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"schema_version": 1, "reviewed_by": "ann", "crop_aliases": {"Mix": "oats"},
                                                  "excluded_operations": {"abc": "strip"}}, indent=2))
