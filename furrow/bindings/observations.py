@@ -156,6 +156,23 @@ ORACLES["zonal_stats"] = rounded_sql("""SELECT event_type, CAST(date_diff('day',
  FROM events GROUP BY ALL""", ["value_mean", "value_stdDev", "value_p10", "value_p50", "value_p90"])
 
 
+def zonal_stats_all_windows(spark, sf):
+    rows = table(spark, sf, "events").withColumn("week", scalars.week_index(F.col("ts"), F.lit("2024-01-01").cast("date")))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    wanted = zonal.expected_windows(users, ["user_id"], {"week": [1, 2, 3, 4, 5, 6]})
+    return rounded(zonal.zonal_stats(rows, ["user_id", "week"], ["value"], scene="event_type", statistics=("mean", "sum", "p90"),
+                                     missing=-9999.0, expected=wanted), 4)
+
+
+QUERIES["zonal_stats_all_windows"] = zonal_stats_all_windows
+ORACLES["zonal_stats_all_windows"] = rounded_sql("""SELECT user_id, CAST(week AS INT) AS week, coalesce(value_mean, -9999.0) AS value_mean, coalesce(value_sum, -9999.0) AS value_sum,
+ coalesce(value_p90, -9999.0) AS value_p90, coalesce(obs_count, 0) AS obs_count
+ FROM (SELECT DISTINCT c_custkey AS user_id FROM customer) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS week) LEFT JOIN (
+   SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 + 1 AS INT) AS week, avg(value) AS value_mean, sum(value) AS value_sum,
+     quantile_cont(value, 0.9) AS value_p90, count(DISTINCT event_type) AS obs_count FROM events GROUP BY ALL) USING (user_id, week)""",
+    ["value_mean", "value_sum", "value_p90"], 4)
+
+
 def class_zonal_mean(spark, sf):
     rows = observations(spark, sf).withColumn("NDVI", indices.normalised_difference(F.col("B8"), F.col("B4")))
     crop = zonal.region_class(F.when(F.col("flag") == "A", 140).when(F.col("flag") == "R", 153))

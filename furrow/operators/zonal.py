@@ -21,8 +21,13 @@ def zonal_mean(composites: DataFrame, keys: list[str], bands: list[str],
 
 def zonal_stats(obs: DataFrame, keys: list[str], bands: list[str], *, scene: str | None = None,
                 statistics: tuple[str, ...] = ("mean", "stdDev", "p10", "p50", "p90"),
-                missing: float | None = None, max_group: int = scale.MAX_GROUP_ROWS) -> DataFrame:
-    """Mean, deviation, sum and percentiles per group as <band>_<statistic>, with a scene count."""
+                missing: float | None = None, expected: DataFrame | None = None,
+                max_group: int = scale.MAX_GROUP_ROWS) -> DataFrame:
+    """Mean, deviation, sum and percentiles per group as <band>_<statistic>, with a scene count.
+
+    With ``expected``, a table with a row for each wanted group (see ``expected_windows``), just these groups come
+    out: one without observations has no statistics and 0 scenes. ``missing`` replaces statistics that are NULL.
+    """
     plain = {"mean": F.avg, "stdDev": F.stddev_pop, "sum": F.sum}
     points = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
     aggs = {f"{b}_{s}": plain[s](b) for b in bands for s in statistics if s in plain}
@@ -32,11 +37,23 @@ def zonal_stats(obs: DataFrame, keys: list[str], bands: list[str], *, scene: str
     out = (scale.group_quantiles(obs, keys, specs, aggs=aggs, max_group=max_group) if specs
            else obs.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()]))
     names = [f"{b}_{s}" for b in bands for s in statistics]
+    if expected is not None:
+        out = scale.attach(expected.select(*keys).distinct(), out, keys)
+        if scene:
+            out = out.withColumn("obs_count", F.coalesce("obs_count", F.lit(0).cast("bigint")))
     if missing is not None:
         out = out.withColumns({n: F.coalesce(n, F.lit(missing)) for n in names})
     return out.select(*keys, *names, *(["obs_count"] if scene else []))
 
 
+def expected_windows(parcels: DataFrame, parcel_keys: list[str], windows: dict[str, list]) -> DataFrame:
+    """Every parcel with every combination of the listed values, such as years and window names."""
+    out = parcels.select(*parcel_keys).distinct()
+    for name, values in windows.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out
+
+
 def region_class(code: Column) -> Column:
     """Crop of an inventory code for regional means; undifferentiated wheat joins spring wheat."""
     names = F.create_map(*[F.lit(v) for pair in REGION_CODE_TO_CROP.items() for v in pair])

@@ -48,6 +48,34 @@ def write_geojson_lines(df: DataFrame, path: str, properties: list[str], crs: st
     df.select(line.alias("value")).write.mode(mode).text(path)
 
 
+def write_feature_collection(df: DataFrame, path: str, properties: list[str], crs: str | None = None,
+                             mode: str = "errorifexists") -> None:
+    """Each part file one valid collection: CRS member once, before the features, one feature a line.
+
+    Both ``read_feature_collection`` and ``read_geojson_lines`` read the folder back. A partition without rows
+    gives an empty collection, a table known to be empty one file without text.
+    """
+    head = '{ "type": "FeatureCollection", '
+    if crs:
+        name = crs.replace("\\", "\\\\").replace('"', '\\"')
+        head += f'"crs": {{ "type": "name", "properties": {{ "name": "{name}" }} }}, '
+
+    def documents(batches):
+        import pandas as pd
+        yield pd.DataFrame({"value": [head + '"features": [']})
+        waiting = None
+        for batch in batches:
+            lines = batch["value"].tolist()
+            if not lines:
+                continue
+            out = lines if waiting is None else [waiting, *lines]
+            waiting = out[-1]
+            yield pd.DataFrame({"value": [text + "," for text in out[:-1]]})
+        yield pd.DataFrame({"value": ([] if waiting is None else [waiting]) + ["]}"]})
+
+    df.select(feature_json(df, properties).alias("value")).mapInPandas(documents, "value string").write.mode(mode).text(path)
+
+
 def export_by_year(df: DataFrame, path: str, years: list[int], overwrite: bool = False) -> DataFrame:
     """One partition per year; finished years are kept unless overwritten. Returns all listed years."""
     spark = df.sparkSession

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow import scale
@@ -48,26 +48,72 @@ def stream_dedupe(events: DataFrame, keys: list[str], *, ts: str = "ts", delay:
     return scale.first_per_key(timed, keys, [F.col(ts)])
 
 
+def _collapsed(batch: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row for each key of a batch: a column's last value by ``order``, the largest where that leaves a choice."""
+    by = [F.col(order)] if order else []
+    return batch.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*by, F.col(c)))).alias(c)
+                                    for c in batch.columns if c not in (key, order)])
+
+
+def _with_new_keys(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    fresh = changes.select(key).join(table, key, "left_anti")
+    return table.unionByName(fresh.select(*[
+        F.col(c) if c == key else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns]))
+
+
+def folded_changes(changes: DataFrame, key: str, notes: str = "notes") -> DataFrame:
+    """One row for each key of a change log with a ``batch`` number: the last value of each column, all notes in order."""
+    def last(c: str) -> Column:
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch")))
+
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col(notes) != "", F.struct("batch", F.col(notes).alias("t"))))),
+                        lambda x: x["t"]) if notes in changes.columns else None
+    return changes.groupBy(key).agg(*[(F.nullif(F.array_join(texts, " | "), F.lit("")) if c == notes else last(c)).alias(c)
+                                      for c in changes.columns if c not in (key, "batch")])
+
+
+def read_status(spark: SparkSession, path: str, number: int, key: str = "batch_id", every: int = 1) -> DataFrame:
+    """The status table after the micro-batch ``number`` (-1: before the first) of a stream that folds ``every`` batches.
+
+    The latest full version is read with the changes logged since, which are one row for each changed key and batch.
+    """
+    version = (number + 1) // every * every
+    table = spark.read.parquet(f"{path}/version={version}")
+    if version == number + 1:
+        return table
+    logged = [f"{path}/changes/batch={n}" for n in range(version, number + 1)]
+    changes = folded_changes(spark.read.option("basePath", f"{path}/changes").parquet(*logged), key)
+    return upsert_status(_with_new_keys(table, changes, key), changes, key)
+
+
 def stream_status_upsert(updates: DataFrame, path: str, checkpoint: str, key: str = "batch_id",
-                         order: str | None = None):
+                         order: str | None = None, every: int = 1):
     """Apply each micro-batch of status changes to a table kept as numbered versions.
 
     Of several changes to a key in a batch, each column takes its last value by ``order`` (a time or sequence column),
     the largest where these are equal or ``order`` is not given, so a repeated batch gives the same table.
 
-    A version is written before its number is used, so a repeated batch after a
-    lost executor rewrites the same version.
+    With ``every`` above 1 a batch writes the rows that it changes only, to a log; each ``every`` batches the log is
+    folded into a full version, so that a batch costs what it changes and a reader at most ``every`` small files more
+    (``read_status``). Notes join in the order of batches, as if each had been applied alone.
+
+    A log entry or version is written before its number is used, so a repeated batch after a
+    lost executor rewrites the same one.
     """
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = spark.read.parquet(f"{path}/version={number}")
-        by = [F.col(order)] if order else []
-        latest = batch.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*by, F.col(c)))).alias(c)
-                                          for c in batch.columns if c not in (key, order)])
-        fresh = latest.select(key).join(last, key, "left_anti")
-        blank = fresh.select(*[F.col(c) if c == key else F.lit(None).cast(last.schema[c].dataType).alias(c)
-                               for c in last.columns])
-        upsert_status(last.unionByName(blank), latest, key).write.mode("overwrite").parquet(f"{path}/version={number + 1}")
+        latest = _collapsed(batch, key, order)
+        if every > 1:
+            latest.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+            if (number + 1) % every:
+                return
+            version = number + 1 - every
+            last = spark.read.parquet(f"{path}/version={version}")
+            logged = [f"{path}/changes/batch={n}" for n in range(version, number + 1)]
+            latest = folded_changes(spark.read.option("basePath", f"{path}/changes").parquet(*logged), key)
+        else:
+            last = spark.read.parquet(f"{path}/version={number}")
+        upsert_status(_with_new_keys(last, latest, key), latest, key).write.mode("overwrite").parquet(f"{path}/version={number + 1}")
 
     return (updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -72,6 +72,24 @@ def test_one_document_is_read_by_many_tasks(spark, tmp_path):
     assert got == want and small == 3040
 
 
+def test_written_collections_are_valid(spark, tmp_path):
+    rows = [(f"{i}", f"say \"{i}\"", [[[[0.0, 0.5], [1.0, float(i)], [0.0, 0.5]]]]) for i in range(50)]
+    df = spark.createDataFrame(rows, "pid string, descriptor string, polys array<array<array<array<double>>>>").repartition(3)
+    out = str(tmp_path / "c")
+    writers.write_feature_collection(df, out, ["pid", "descriptor"], crs="EPSG:4326")
+    documents = [json.loads(p.read_text()) for p in sorted((tmp_path / "c").glob("part-*"))]
+    assert len(documents) == 3 and all(d["type"] == "FeatureCollection" for d in documents)
+    assert all(d["crs"]["properties"]["name"] == "EPSG:4326" and "crs" not in f for d in documents for f in d["features"])
+    for again in (readers.read_feature_collection(spark, out), readers.read_geojson_lines(spark, out)):
+        assert sorted((r.pid, r.descriptor, r.polys) for r in again.collect()) == sorted(rows)
+    assert readers.read_crs_name(spark, out) == "EPSG:4326"
+    writers.write_feature_collection(df.repartition(3, F.lit(1)), str(tmp_path / "e"), ["pid"])
+    sizes = sorted(len(json.loads(p.read_text())["features"]) for p in (tmp_path / "e").glob("part-*"))
+    assert sizes == [0, 0, 50]
+    writers.write_feature_collection(df.limit(0), str(tmp_path / "n"), ["pid"])
+    assert readers.read_feature_collection(spark, str(tmp_path / "n")).count() == 0
+
+
 def test_parts_need_one_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("pid,x\n001,1\n002,2\n")
     (tmp_path / "b.csv").write_text("pid,x\n003,3\n")
@@ -221,3 +239,25 @@ def test_stream_status(spark, tmp_path):
     streams.stream_status_upsert(updates, path, str(tmp_path / "c")).awaitTermination()
     got = {r.batch_id: (r.state, r.notes) for r in spark.read.parquet(f"{path}/version=1").collect()}
     assert got == {"b1": ("running", "go"), "b2": ("planned", "")}
+
+
+def test_status_log_equals_full_versions(spark, tmp_path):
+    schema = "batch_id string, state string, notes string"
+    base = [("b1", "planned", ""), ("b2", None, "old"), ("b9", "done", None)]
+    batches = [[("b1", "running", "go"), ("b3", "planned", None)], [("b1", None, "slow"), ("b2", "failed", "")],
+               [("b1", "done", "x"), ("b4", None, "late"), ("b3", "running", "y")], [("b2", "planned", "again")], [("b3", "done", None)]]
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name in ("full", "log"):
+        spark.createDataFrame(base, schema).write.parquet(str(tmp_path / name / "version=0"))
+    updates = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(inbox))
+    for n, rows in enumerate(batches):
+        (inbox / f"{n}.json").write_text("".join(json.dumps(dict(zip(("batch_id", "state", "notes"), r))) + "\n" for r in rows))
+        streams.stream_status_upsert(updates, str(tmp_path / "full"), str(tmp_path / "cf")).awaitTermination()
+        streams.stream_status_upsert(updates, str(tmp_path / "log"), str(tmp_path / "cl"), every=3).awaitTermination()
+        full = {r.batch_id: (r.state, r.notes or "") for r in streams.read_status(spark, str(tmp_path / "full"), n).collect()}
+        log = {r.batch_id: (r.state, r.notes or "") for r in streams.read_status(spark, str(tmp_path / "log"), n, every=3).collect()}
+        assert full == log
+        assert spark.read.parquet(str(tmp_path / "log" / "changes" / f"batch={n}")).count() == len(rows)
+    assert log["b1"] == ("done", "go | slow | x") and log["b9"] == ("done", "")
+    assert sorted(p.name for p in (tmp_path / "log").glob("version=*")) == ["version=0", "version=3"]
