@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,38 @@ from furrow.operators.harvest import TOTAL_UNITS
 CROP_MASK_MIN_SHARE = 0.1
 
 
+def _with_minimum(pairs: DataFrame, links: int) -> DataFrame:
+    """Pairs with ``__m``, the least of src and its neighbours. Hubs are salted; with few links no node can be one."""
+    low = pairs.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("__m"), F.count("*").alias("__n"))
+    if links <= scale.HOT_KEY_ROWS:
+        return pairs.join(low.drop("__n"), "src")
+    return scale.attach(pairs, low, ["src"], rows="__n")
+
+
+def _roots(links: DataFrame, max_rounds: int) -> DataFrame:
+    """(id, root) of every number in a link (src, dst): root is the least number that it reaches."""
+    def signature(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+    pairs = scale.cut_lineage(links.where("src <> dst").select(
+        F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    last = signature(pairs)
+    for _ in range(max_rounds):
+        both = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        large = _with_minimum(both, last[0]).where("dst > src").select(F.col("dst").alias("src"), F.col("__m").alias("dst")).where("src <> dst")
+        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        pairs = scale.cut_lineage(_with_minimum(down, last[0]).select(
+            F.explode(F.array("src", "dst")).alias("src"), F.col("__m").alias("dst")).where("src <> dst").distinct())
+        now = signature(pairs)
+        if now == last:
+            break
+        last = now
+    else:
+        raise RuntimeError("Components did not settle; raise max_rounds.")
+    roots = pairs.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("root"))
+    return roots.union(pairs.select(F.col("dst").alias("id"), F.col("dst").alias("root")).distinct())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node in an undirected edge list (src, dst).
 
@@ -24,39 +58,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     map-side and join back salted, so a hub node is never one task's work; each
     round is checkpointed.
     """
-    def minima(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("__m"))
-
-    def signature(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-
     # Nodes get numbers, fixed once they are written: minima of numbers need no sort.
     nodes = scale.cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn(
         "id", F.monotonically_increasing_id()))
-    # Minima have at most one row per node, so one check of the node count serves every round.
+    # Minima have at most one row per node, so one check of the node count serves every join.
     _, small = scale.broadcast_if_small(nodes)
     numbered = edges.where("src <> dst")
     for side in ("src", "dst"):
         numbered = scale.skew_join(numbered, nodes.select(F.col("node").alias(side), F.col("id").alias(f"__{side}")),
                                    [side], "inner", small=small)
-    pairs = scale.cut_lineage(numbered.select(F.col("__src").alias("src"), F.col("__dst").alias("dst")).distinct())
-    last = None
-    for _ in range(max_rounds):
-        both = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = scale.attach(both, minima(both), ["src"], small=small).where("dst > src").select(
-            F.col("dst").alias("src"), F.col("__m").alias("dst")).where("src <> dst")
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        lowest = scale.attach(down, minima(down), ["src"], small=small)
-        lowered = lowest.select(F.explode(F.array("src", "dst")).alias("src"), F.col("__m").alias("dst")).where(
-            "src <> dst").distinct()
-        pairs = scale.cut_lineage(lowered)
-        now = tuple(signature(pairs))
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("Components did not settle; raise max_rounds.")
-    roots = pairs.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("root"))
+    roots = _roots(numbered.select(F.col("__src").alias("src"), F.col("__dst").alias("dst")), max_rounds)
     placed = scale.cut_lineage(scale.attach(nodes, roots, ["id"], small=small).select(
         "node", F.coalesce("root", "id").alias("root")))
     # A component is named by its smallest node, which does not depend on the numbering.
@@ -66,16 +77,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def group_operations(matches: DataFrame, *, pids: str = "pids", key: str = "operation_id",
                      keys: tuple[str, ...] = ("crop", "year")) -> DataFrame:
-    """Operations with ``group_id``: same crop and year, connected through shared parcels."""
+    """Operations with ``group_id``: same crop and year, connected through shared parcels.
+
+    Rows are numbered as they are written. Each is linked to the least number on each of its parcels, so parcels are no
+    nodes, and rows that share nothing stay out of the rounds. Rows of one operation are linked too.
+    """
     scope = F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    edges = matches.select(
-        F.concat_ws("\x01", F.lit("o"), scope, F.col(key)).alias("src"),
-        F.explode_outer(pids).alias("__pid"), scope.alias("__scope")).select(
-        "src", F.coalesce(F.concat_ws("\x01", F.lit("p"), "__scope", "__pid"), F.col("src")).alias("dst"))
-    components = connected_components(edges)
-    node = F.concat_ws("\x01", F.lit("o"), scope, F.col(key))
-    return scale.skew_join(matches.withColumn("node", node), components, ["node"], "inner").withColumnRenamed(
-        "component", "group_id").drop("node")
+    rows = scale.cut_lineage(matches.withColumns({
+        "__node": F.concat_ws("\x01", F.lit("o"), scope, F.col(key)), "__row": F.monotonically_increasing_id()}), wide=True)
+    cells = rows.select(F.col("__row").alias("src"), scope.alias("__scope"), F.explode_outer(pids).alias("__pid")).select(
+        "src", F.concat_ws("\x01", "__scope", "__pid").alias("cell"))
+    doubled = scale.cut_lineage(rows.groupBy(F.xxhash64("__node").alias("__hash")).count().where("count > 1").select("__hash"))
+    links = [_to_least(cells, "cell")]
+    if not doubled.isEmpty():
+        again = rows.select(F.col("__row").alias("src"), "__node", F.xxhash64("__node").alias("__hash")).join(doubled, "__hash", "left_semi")
+        links.append(_to_least(again.select("src", "__node"), "__node"))
+    roots = scale.cut_lineage(_roots(reduce(DataFrame.union, links), 60))
+    # A group is named by its smallest operation, which does not depend on the numbering.
+    linked = scale.cut_lineage(rows.select("__row", "__node").join(roots.withColumnRenamed("id", "__row"), "__row"), wide=True)
+    names = linked.groupBy("root").agg(F.min("__node").alias("group_id"), F.count("*").alias("__n"))
+    named = scale.attach(linked.select("__row", "root"), names, ["root"], rows="__n").drop("root")
+    return rows.join(named, "__row", "left").withColumn("group_id", F.coalesce("group_id", "__node")).drop("__row", "__node")
+
+
+def _to_least(rows: DataFrame, by: str) -> DataFrame:
+    """Links (src, dst) from each row's number to the least one with the same value of ``by``."""
+    least = rows.groupBy(by).agg(F.min("src").alias("dst"), F.count("*").alias("__n")).where("__n > 1")
+    return scale.attach(rows, least, [by], "inner", rows="__n").where("src <> dst").select("src", "dst")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -95,7 +123,7 @@ def field_year_table(matches: DataFrame, operations: DataFrame, features: DataFr
     ``parcels`` gives parcel_acres per pid; ``features`` has one row per pid and year.
     """
     eligible = matches.where("boundary_pilot_eligible").withColumn("year", F.col("year").cast("int"))
-    grouped = scale.cut_lineage(group_operations(eligible))
+    grouped = scale.cut_lineage(group_operations(eligible), wide=True)
     totals = operations.select("operation_id", "total_value", "total_unit")
     unit_map = F.create_map(*[F.lit(v) for pair in TOTAL_UNITS.items() for v in pair])
     rows = scale.attach(grouped, totals, ["operation_id"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow import scale
-from furrow.operators import field_years, groups, tables, zonal
+from furrow.operators import field_years, groups, harvest, matching, tables, zonal
 
 
 def rows_of(df):
@@ -158,3 +158,61 @@ def test_broadcasts_go_by_real_sizes(spark):
 def test_checkpoint_folder_comes_from_the_session(spark):
     scale.ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def no_pass_over_facts(monkeypatch):
+    """Nothing is broadcast, and hot keys may not be counted in a pass of their own."""
+    def refused(*args, **kwargs):
+        raise AssertionError("the facts were read again to count hot keys")
+    monkeypatch.setattr(scale, "broadcast_if_small", lambda df, max_bytes=0: (df, False))
+    monkeypatch.setattr(scale, "hot_keys", refused)
+    monkeypatch.setattr(scale, "HOT_KEY_ROWS", 3)
+
+
+def test_group_stats_know_their_hot_keys(spark, monkeypatch):
+    df = spark.createDataFrame([(k, i) for k, n in ((None, 6), ("a", 9), ("b", 2)) for i in range(n)], "key string, v long")
+    no_pass_over_facts(monkeypatch)
+    got = scale.with_group_stats(df, ["key"], {"n": F.count("*"), "top": F.max("v")})
+    assert got.columns == ["key", "v", "n", "top"]
+    assert sorted((r.key or "", r.v, r.n, r.top) for r in got.collect()) == sorted(
+        (k, i, n, n - 1) for k, n in (("", 6), ("a", 9), ("b", 2)) for i in range(n))
+
+
+def test_parcel_sharing_reads_operations_once(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"o{i}", 2000 + i % 2, f"c{i % 3}", float(i), [f"p{rng.randrange(6)}" for _ in range(1 + i % 2)] if i % 10 else []) for i in range(60)]
+    df = spark.createDataFrame(rows, "operation_id string, year int, crop string, area_ac double, pids array<string>")
+    no_pass_over_facts(monkeypatch)
+    got = {r.operation_id: (r.quarter_year_operation_count, r.quarter_year_crops, r.quarter_year_area_ac) for r in matching.parcel_sharing(df).collect()}
+    for key, year, _, _, pids in rows:
+        others = [r for r in rows if r[1] == year and set(r[4]) & set(pids)]
+        assert got[key] == (len(others), sorted({r[2] for r in others}), sum(r[3] for r in others))
+
+
+def test_operations_grouped_without_parcel_nodes(spark, monkeypatch):
+    """Chains, a crowded parcel, repeated ids and rows that share nothing."""
+    rows = [(f"o{i:03}", "x" if i % 7 else "y", 2000, [f"p{i}", f"p{i + 1}"] if i % 3 else [f"p{i}"]) for i in range(60)]
+    rows += [(f"h{i:03}", "x", 2001, ["hub"]) for i in range(20)] + [("h000", "x", 2001, ["far"]), ("k", "x", 2001, ["far"]), ("alone", "x", 2001, ["own"])]
+    df = spark.createDataFrame(rows, "operation_id string, crop string, year int, pids array<string>")
+    no_pass_over_facts(monkeypatch)
+    nodes = {}
+    edges = [(("o", c, y, k), ("p", c, y, p)) for k, c, y, pids in rows for p in pids]
+    for pair in edges:
+        for n in pair:
+            nodes.setdefault(n, len(nodes))
+    roots = brute_components([(nodes[a], nodes[b]) for a, b in edges])
+    least = {}
+    for (_, c, y, k), n in ((n, i) for n, i in nodes.items() if n[0] == "o"):
+        least[roots[n]] = min(least.get(roots[n], "~"), "\x01".join(["o", c, str(y), k]))
+    got = field_years.group_operations(df).collect()
+    assert len(got) == len(rows)
+    assert {(r.operation_id, r.crop, r.year, r.group_id) for r in got} == {(k, c, y, least[roots[nodes["o", c, y, k]]]) for k, c, y, _ in rows}
+
+
+def test_shared_flags_know_their_hot_headings(spark, monkeypatch):
+    rows = [("", 2000, "oats", i) for i in range(8)] + [("A", 2000, "oats" if i else "rye", i) for i in range(6)] + [("B", 2000, "oats", 0), ("C", 2000, "oats", 0), ("c ", 2000, "oats", 1)]
+    df = spark.createDataFrame(rows, "field_heading_raw string, year int, crop string, i int").withColumn("crop_raw", F.col("crop"))
+    no_pass_over_facts(monkeypatch)
+    got = {(r.field_heading_raw, r.shared_flag) for r in harvest.shared_field_flags(df).collect()}
+    one, many = "multiple_operations_same_field_year", "multiple_crops_same_field_year"
+    assert got == {("", None), ("A", many), ("B", None), ("C", one), ("c ", one)}
