@@ -295,7 +295,7 @@ def feature_lines(spark, sf):
                     F.when(key % 2 == 0, F.concat(F.lit('"Polygon", "coordinates": ['), ring, F.lit("]"))).otherwise(
                         F.concat(F.lit('"MultiPolygon", "coordinates": [['), ring, F.lit("]]"))),
                     F.when(key % 13 == 5, " oops").otherwise(" } }"), F.lit(","))
-    lines = table(spark, sf, "customer").select(key.alias("position"), F.when(key % 17 == 3, '{"type": "Header"').otherwise(line).alias("value"))
+    lines = scale.spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(key.alias("position"), F.when(key % 17 == 3, '{"type": "Header"').otherwise(line).alias("value"))
     return scale.cut_lineage(lines)  # as a file would be: text, not the expression that made it
 
 

@@ -38,8 +38,8 @@ def ring_square_metres(ring: Column) -> Column:
 def multipolygon_acres(polys: Column) -> Column:
     """Acres of every polygon's outer ring less its holes."""
     def polygon(rings: Column) -> Column:
-        areas = F.transform(rings, ring_square_metres)
-        return F.get(areas, F.lit(0)) - _total(F.slice(areas, 2, F.greatest(F.size(areas), F.lit(1))))
+        holes = F.slice(rings, 2, F.greatest(F.size(rings), F.lit(1)))
+        return ring_square_metres(F.get(rings, F.lit(0))) - _total(F.transform(holes, ring_square_metres))
 
     return _total(F.transform(polys, polygon)) / SQUARE_METRES_PER_ACRE
 

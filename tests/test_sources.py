@@ -6,6 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from furrow import scale
+from furrow.functions import geometry
 from furrow.operators import selection
 from furrow.sources import readers, writers
 from furrow.streaming import streams
@@ -261,3 +263,21 @@ def test_status_log_equals_full_versions(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "log" / "changes" / f"batch={n}")).count() == len(rows)
     assert log["b1"] == ("done", "go | slow | x") and log["b9"] == ("done", "")
     assert sorted(p.name for p in (tmp_path / "log").glob("version=*")) == ["version=0", "version=3"]
+
+
+def test_a_line_is_parsed_once(spark):
+    """Later filters and expressions name the parsed columns; they don't parse the text again."""
+    line = '{ "type": "Feature", "properties": { "pid": "a", "ra": null }, "geometry": { "type": "Polygon", "coordinates": [[[1,2],[3,2],[3,4],[1,2]]] } },'
+    lines = spark.createDataFrame([(0, line), (1, line.replace("} },", "oops,")), (2, '{"type": "Header"'), (3, None)], "at int, value string")
+    used = selection.filter_farmland(selection.filter_bbox(readers.parse_feature_lines(lines), 0, 0, 5, 5))
+    used = used.select("at", "pid", geometry.centroid(F.col("polys"))["lon"].alias("lon"), geometry.multipolygon_acres(F.col("polys")).alias("acres"))
+    assert [(r.at, r.pid, round(r.lon, 3)) for r in used.collect()] == [(0, "a", 2.333)]
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 3
+
+
+def test_spread_uses_all_cores(spark):
+    few = spark.range(50).coalesce(1)
+    wide = scale.spread(few, "id")
+    assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in wide.collect()) == list(range(50))
+    assert scale.spread(wide, "id") is wide
