@@ -1,6 +1,7 @@
 """Linear and season models against direct NumPy fits, planted signals and leak detectors."""
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -386,3 +387,38 @@ def test_season_ridge_without_keys(spark):
     assert fit.count() == 1
     error = linear.predict_linear(df, fit, [], ["x"], "p").agg(F.avg(F.abs(F.col("p") - F.col("y")))).first()[0]
     assert fit.first().alpha == 0.1 and error < 1.0
+
+
+def test_fits_run_side_by_side(spark):
+    """Independent fits wait for each other here, so one after another they would not end."""
+    meet = threading.Barrier(2, timeout=30)
+    assert models.at_once(spark, [lambda k=k: (meet.wait(), k)[1] for k in range(4)]) == list(range(4))
+    assert models.at_once(spark, []) == []
+
+
+def test_historical_splits_are_prepared_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("a" if k % 2 else "b", "x", k % 7, k, float(k % 9), float(k)) for k in range(60)], "Area string, Item string, Year int, k int, `hg/ha_yield` double, t double")
+    calls = []
+    real = models.linear.standardise
+    monkeypatch.setattr(models.linear, "standardise", lambda *a, **b: (calls.append(1), real(*a, **b))[1])
+    out = models.historical_benchmark(rows, key="k", folds_n=2, kinds=("linear", "tree"))
+    assert {r.model for r in out.collect()} == {"linear", "tree"}
+    assert len(calls) == 3  # one for each split, not one for each model and split
+
+
+def test_pixel_yield_reads_rows_once_for_all_folds(spark, monkeypatch):
+    rows = [("a", f"f{k % 9}", 2000 + k % 3, f"q{k % 9}", float(3 * (k % 11) + k % 2), float(k % 11), None if k % 6 == 0 else float(k % 5)) for k in range(90)] + [("b", "only", 2000, "q", 1.0, 2.0, 3.0)] * 3
+    df = spark.createDataFrame(rows, "crop string, row_id string, year int, quarter_section string, yield_bu_ac double, NDVI_max double, VV_mean double")
+    calls = []
+    real = benchmark.linear.moments
+    monkeypatch.setattr(benchmark.linear, "moments", lambda *a, **b: (calls.append(1), real(*a, **b))[1])
+    scores, predictions, used = benchmark.pixel_yield_cv(df)
+    assert len(calls) == 1 and len(used) == 2
+    got = predictions.where("crop = 'a'").toPandas()
+    assert len(got) == 90 and got["pred_ols"].notna().all() and got["fitted_ols"].notna().all()
+    x = np.array([[1, r[5], r[6] if r[6] is not None else np.nan] for r in rows[:90]], dtype=float)
+    y = np.array([r[4] for r in rows[:90]])
+    x[np.isnan(x[:, 2]), 2] = np.nanmedian(x[:, 2])
+    want = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert sorted(np.round(got["fitted_ols"], 6)) == sorted(np.round(want, 6))
+    assert predictions.where("crop = 'b' AND pred_ols IS NULL").count() == 3
