@@ -201,12 +201,14 @@ def pixel_yield_cv(df: DataFrame, *, feature_set: str = "nonleaky", alpha: float
     specs = ([("mean_baseline", None)] if include_baseline else []) + [("ols", 0.0), ("ridge", alpha)]
     out = folds.training_mean(rows, [crop], "fold", "__y", "pred_mean_baseline")
     out = scale.with_group_stats(out, [crop], {"fitted_mean_baseline": F.avg("__y")})
-    parts = []
-    for fold in range(5):
-        held = out.where(F.col("fold") == fold)
-        parts.append(_linear_pair(rows.where(F.col("fold") != fold), held, used, crop, alpha, "pred"))
-    predictions = scale.cut_lineage(_linear_pair(rows, scale.cut_lineage(reduce(DataFrame.unionByName, parts)), used,
-                                                 crop, alpha, "fitted"))
+    # All training parts in one pass: the rows that do not lie in a held-out fold, and under ALL_ROWS every row.
+    held = F.explode(F.array(*[F.lit(f) for f in (*range(5), ALL_ROWS)])).alias("__held")
+    train = rows.select(crop, "fold", "__y", *used, held).where((F.col("__held") == ALL_ROWS) | (F.col("fold") != F.col("__held")))
+    params, fills = _linear_fits(train, used, [crop, "__held"], alpha)
+    out = out.where("fold IS NOT NULL")
+    for prefix, of in (("pred", F.col("fold")), ("fitted", F.lit(ALL_ROWS))):
+        out = _linear_predictions(out.withColumn("__held", of), params, fills, used, [crop, "__held"], prefix).drop("__held")
+    predictions = scale.cut_lineage(out, wide=True)
     long = predictions.withColumn("e", F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.when(F.col("__k") >= 2, F.col(f"pred_{m}")).alias("predicted"))
         for m, _ in specs]))).select(crop, group, "fold", "__k", "__y", "e.*")
@@ -224,18 +226,32 @@ def pixel_yield_cv(df: DataFrame, *, feature_set: str = "nonleaky", alpha: float
     return metrics, predictions.select(crop, group, "year", "quarter_section", F.col("__y").alias(target), *keep), features
 
 
-def _linear_pair(train: DataFrame, rows: DataFrame, used: list[str], crop: str, alpha: float, prefix: str) -> DataFrame:
-    """OLS and ridge predictions from one set of moments."""
-    medians = scale.cut_lineage(scale.group_quantiles(train, [crop], {f"__{c}": (F.col(c), 0.5) for c in used}))
+#: Stands for a held-out fold where no row is held out.
+ALL_ROWS = -1
 
-    def fill(df: DataFrame) -> DataFrame:
-        return scale.attach(df, medians, [crop]).withColumns(
-            {f"__{c}": F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(0.0)) for c in used})
 
-    filled = [f"__{c}" for c in used]
-    gram = scale.cut_lineage(linear.moments(fill(train), [crop], filled, "__y"))
-    out = fill(rows)
+def _linear_fits(train: DataFrame, used: list[str], keys: list[str], alpha: float) -> tuple[DataFrame, DataFrame]:
+    """OLS and ridge parameters per key from one set of moments, and the medians that fill gaps. Features without gaps need none."""
+    gaps = train.agg(F.lit(0), *[F.count_if(F.col(c).isNull()).alias(c) for c in used]).first()
+    gappy = [c for c in used if gaps[c]]
+    fills = scale.cut_lineage(scale.group_quantiles(train, keys, {f"__{c}": (F.col(c), 0.5) for c in gappy}) if gappy else train.select(*keys).distinct())
+    filled = scale.attach(train, fills, keys).select(*keys, "__y", *_filled(used, gappy))
+    gram = scale.cut_lineage(linear.moments(filled, keys, used, "__y"))
+    params = None
     for name, penalty in (("ols", 0.0), ("ridge", alpha)):
-        params = linear.fit_linear(gram, [crop], len(used), penalty)
-        out = linear.predict_linear(out, params, [crop], filled, f"{prefix}_{name}")
-    return out.drop(*filled)
+        fit = linear.fit_linear(gram, keys, len(used), penalty).select(*keys, F.col("intercept").alias(f"__i_{name}"), F.col("coef").alias(f"__c_{name}"))
+        params = fit if params is None else scale.attach(params, fit, keys)
+    return scale.cut_lineage(params), fills
+
+
+def _filled(used: list[str], gappy: list[str]) -> list:
+    return [F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(0.0)).alias(c) if c in gappy else F.col(c) for c in used]
+
+
+def _linear_predictions(rows: DataFrame, params: DataFrame, fills: DataFrame, used: list[str], keys: list[str], prefix: str) -> DataFrame:
+    both = scale.attach(scale.attach(rows, params, keys), fills, keys)
+    gappy = [c for c in used if f"__{c}" in fills.columns]
+    value = dict(zip(used, _filled(used, gappy)))
+    both = both.withColumns({f"__v_{c}": v for c, v in value.items()})
+    out = both.withColumns({f"{prefix}_{m}": linear.linear_value([f"__v_{c}" for c in used], f"__i_{m}", f"__c_{m}") for m in ("ols", "ridge")})
+    return out.drop(*[f"__v_{c}" for c in used], *[f"__{k}_{m}" for k in "ic" for m in ("ols", "ridge")], *[f"__{c}" for c in gappy])
