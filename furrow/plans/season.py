@@ -142,18 +142,24 @@ def season_readings(df: DataFrame, reading: str, columns: list[str], local: Data
 
 def fit_deviation(train: DataFrame, centred: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Deviation ridge per key and the medians it imputes with; keys need five rows in seasons with contrast."""
-    contrast = groups.seasons_with_contrast(train, keys=(*keys, "year"))
-    contrast = scale.cut_lineage(min_group_size(contrast, keys, 5).select(*keys, "departure", *centred))
-    medians = scale.cut_lineage(scale.group_quantiles(
-        contrast, keys, {f"__med_{i}": (F.col(c), 0.5) for i, c in enumerate(centred)}))
+    return _fit_contrast(groups.seasons_with_contrast(train, keys=(*keys, "year")), centred, keys, centred)
+
+
+def _fit_contrast(contrast: DataFrame, centred: list[str], keys: list[str], gappy: list[str]) -> tuple[DataFrame, DataFrame]:
+    """As fit_deviation, from rows with their departure; only ``gappy`` features have medians."""
+    contrast = scale.cut_lineage(min_group_size(contrast, keys, 5).select(*keys, "departure", *centred), wide=True)
+    specs = {f"__med_{i}": (F.col(c), 0.5) for i, c in enumerate(centred) if c in gappy}
+    medians = scale.cut_lineage(scale.group_quantiles(contrast, keys, specs) if specs else contrast.select(*keys).distinct())
     filled = _impute(contrast, medians, centred, keys)
     return linear.ridge_loo(filled, keys, centred, "departure"), medians
 
 
 def _impute(df: DataFrame, medians: DataFrame, centred: list[str], keys: list[str]) -> DataFrame:
+    known = {f"__med_{i}": c for i, c in enumerate(centred) if f"__med_{i}" in medians.columns}
+    if not known:
+        return df
     out = scale.attach(df, medians, keys)
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{i}")) for i, c in enumerate(centred)}).drop(
-        *[f"__med_{i}" for i in range(len(centred))])
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(m)) for m, c in known.items()}).drop(*known)
 
 
 def predict_deviation(rows: DataFrame, fitted: tuple[DataFrame, DataFrame], centred: list[str],
@@ -188,32 +194,40 @@ def evaluate_season_field(table: DataFrame, *, years: tuple[int, ...] = DEVELOPM
         raise ValueError("The local reading needs a table of local features.")
     require_columns(table, [*season, *satellite, *[quarter_column(c) for c in season if season_reading == "quarter"]])
 
-    source = scale.cut_lineage(table.where(F.col("year").isin(list(years))))
+    source = scale.cut_lineage(table.where(F.col("year").isin(list(years))), wide=True)
     rows = min_group_size(source, ["crop", "yield_unit"], min_rows)
-    rows = scale.cut_lineage(groups.centre(rows, satellite))
+    rows = scale.cut_lineage(groups.centre(rows, satellite), wide=True)
     seasons = season_list(rows)
     each_season = F.explode(F.array(*[F.lit(y) for y in seasons]))
-    stacked = rows.withColumn("held_out", each_season)
-    train, test = stacked.where("year <> held_out"), stacked.where("year = held_out")
     centred = [f"centred_{c}" for c in deviation]
+    # What does not depend on the held-out season is put to a row before it is copied, and copies have only what fits and scores read.
+    slim = scale.with_group_stats(rows, ["crop", "year"], {"__n": F.count("*"), "__mean": F.avg("yield")})
+    slim = slim.withColumns({"__contrast": F.col("__n") >= 2, "departure": F.col("yield") - F.col("__mean")})
+    own = ["field_key", "year", "crop", "yield_unit", "yield", "__contrast", "departure", *[f"centred_{c}" for c in satellite]]
     if HISTORY_FEATURE in deviation:
-        past = source.withColumn("held_out", each_season).where("year <> held_out")
-        train, test = [groups.centre(
-            groups.field_history(past, part, own, extra=("held_out",)), [HISTORY_FEATURE], ("held_out", "crop", "year"))
-            for part, own in ((train, True), (test, False))]
-    train, test = scale.cut_lineage(train), scale.cut_lineage(test)
+        slim = groups.with_departures(slim.select(*own), source).withColumn("held_out", each_season)
+        history = groups.history_without(F.col("__departures"), F.col("held_out"), F.col("year"))
+        slim = scale.cut_lineage(slim.withColumn(HISTORY_FEATURE, history).drop("__departures"), wide=True)
+        stacked = groups.centre(slim, [HISTORY_FEATURE], ("held_out", "crop", "year"))
+    else:
+        stacked = slim.select(*own).withColumn("held_out", each_season)
+    train, test = stacked.where("year <> held_out"), stacked.where("year = held_out")
+    gaps = stacked.agg(F.lit(0), *[F.count_if(F.col(c).isNull()).alias(c) for c in centred]).first()
 
     by_crop = ["held_out", "crop"]
-    crop_means = scale.cut_lineage(train.groupBy(*by_crop).agg(F.avg("yield").alias("baseline_mean")))
+    amount = F.col("yield").cast("double")
     means = [F.avg("yield").alias("season_mean"), F.count("*").alias("fields"), *[F.avg(c).alias(c) for c in season]]
-    season_train = scale.cut_lineage(scale.attach(train.groupBy(*by_crop, "year").agg(*means), crop_means, by_crop)
+    levels = scale.cut_lineage(rows.groupBy("crop", "year").agg(*means, F.sum(amount).alias("__sum"), F.count(amount).alias("__rows")))
+    others = levels.withColumn("held_out", each_season).where("year <> held_out")
+    crop_means = scale.cut_lineage(others.groupBy(*by_crop).agg(F.try_divide(F.sum("__sum"), F.sum("__rows")).alias("baseline_mean")))
+    season_train = scale.cut_lineage(scale.attach(others.drop("__sum", "__rows"), crop_means, by_crop)
                                      .withColumn("relative_mean", F.col("season_mean") / F.col("baseline_mean")))
-    season_test = scale.attach(test.groupBy(*by_crop).agg(*means), crop_means, by_crop)
+    season_test = scale.attach(levels.withColumnRenamed("year", "held_out").drop("__sum", "__rows"), crop_means, by_crop)
     modelled = _season_level(season_features, season, rows, season_train, season_test, published, regions,
                              season_reading, local, sensor_scale, seasons)
     modelled = scale.cut_lineage(modelled)
 
-    fitted = fit_deviation(train, centred, by_crop)
+    fitted = _fit_contrast(train.where("__contrast"), centred, by_crop, [c for c in centred if gaps[c]])
     out = predict_deviation(test, fitted, centred, by_crop)
     out = scale.attach(out, modelled.select(*by_crop, "baseline_mean", "modelled_mean", "season_alpha"), by_crop)
     out = groups.others_mean(out, fallback=F.col("baseline_mean"))
@@ -222,7 +236,7 @@ def evaluate_season_field(table: DataFrame, *, years: tuple[int, ...] = DEVELOPM
         "field_key", "year", "crop", "yield_unit", "yield", "predicted_deviation", "season_alpha",
         base.alias("pred_baseline"), level.alias("pred_season_model"), (base + dev).alias("pred_baseline_plus_field"),
         (level + dev).alias("pred_season_model_plus_field"), known.alias("pred_known_season"),
-        (known + dev).alias("pred_known_season_plus_field")))
+        (known + dev).alias("pred_known_season_plus_field")), wide=True)
     long = predictions.withColumn("pred", F.explode(F.array(*[
         F.struct(F.lit(v).alias("variant"), F.col(f"pred_{v}").alias("predicted")) for v in VARIANTS]))).select(
         "crop", "yield_unit", "year", "yield", "pred_baseline", "pred.*")
