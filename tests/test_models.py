@@ -422,3 +422,29 @@ def test_pixel_yield_reads_rows_once_for_all_folds(spark, monkeypatch):
     want = x @ np.linalg.lstsq(x, y, rcond=None)[0]
     assert sorted(np.round(got["fitted_ols"], 6)) == sorted(np.round(want, 6))
     assert predictions.where("crop = 'b' AND pred_ols IS NULL").count() == 3
+
+
+def test_history_from_a_map_is_field_history(spark):
+    draw = random.Random(3)
+    rows = [(f"f{k % 7}" if k % 29 else None, "ab"[k % 2], 2000 + draw.randrange(4), draw.random() + 1 if k % 31 else None) for k in range(150)]
+    source = spark.createDataFrame(rows, "field_key string, crop string, year int, yield double")
+    stacked = groups.with_departures(source, source).withColumn("held_out", F.explode(F.array(*[F.lit(y) for y in range(2000, 2004)])))
+    mine = stacked.withColumn("mine", groups.history_without(F.col("__departures"), F.col("held_out"), F.col("year"))).drop("__departures")
+    past = source.withColumn("held_out", F.explode(F.array(*[F.lit(y) for y in range(2000, 2004)]))).where("year <> held_out")
+    for part, own in ((mine.where("year <> held_out"), True), (mine.where("year = held_out"), False)):
+        got = groups.field_history(past, part, own, extra=("held_out",)).select("mine", "field_history").collect()
+        assert got and all(abs(r.mine - r.field_history) < 1e-12 for r in got)
+
+
+def test_season_copies_hold_only_what_fits_read(spark, monkeypatch):
+    rows = [(f"f{k % 12}", "a", 2000 + k % 4, "bu/ac", float(50 + k % 12 + k % 7), *[None if c == 0 and k % 10 == 0 else float((k * (c + 3)) % 17) for c in range(len(PEAK_FEATURES))], "x" * 50)
+            for k in range(96)]
+    table = spark.createDataFrame(rows, "field_key string, crop string, year int, yield_unit string, yield double, " + ", ".join(f"{c} double" for c in PEAK_FEATURES) + ", unused string")
+    regions = table.select(F.col("field_key").alias("region"), "year", "crop", F.col("yield").alias("regional_yield"), *PEAK_FEATURES).withColumn("pixels", F.lit(1))
+    seen = []
+    real = season._fit_contrast
+    monkeypatch.setattr(season, "_fit_contrast", lambda train, centred, keys, gappy: (seen.append((train.columns, gappy)), real(train, centred, keys, gappy))[1])
+    out = season.evaluate_season_field(table, years=(2000, 2001, 2002, 2003), deviation_features="peak_history", season_features="regional_satellite", regions=regions)
+    assert out.predictions.count() == 96 and out.predictions.where("pred_season_model_plus_field IS NULL").count() == 0
+    (columns, gappy), = seen
+    assert "unused" not in columns and gappy == [f"centred_{PEAK_FEATURES[0]}"]
