@@ -6,19 +6,21 @@ with probability J^rows; LEVELS has the rows and bands of three indexes, in each
 
 First each text is held against that text, least in one of its lists, with which it agrees in most bands, and true links give components. Then only what lies in different
 components is compared: in lists of up to LIST_ROWS all pairs, in longer ones the least member with the others, and the longer ones' texts go on to the
-next, finer index. Before that, each counts how many of its shingles any text of another component among them has: no link across components can share more, so a pair whose sizes ask
-for more is never made, and a text that no partner can suit leaves. This bound is exact. So a large group of near copies costs no pairs by the square. In the finest index all other pairs of
-different components are compared; that is by the square only where over LIST_ROWS texts agree in 12 least values, share enough shingles with others, and still aren't linked.
+next, finer index. Each text has MARK_WORDS * 64 bits, each the parity of the number of its shingles that fall on it: two texts differ in at least as many shingles as bits, so a pair
+that differs in more bits than a link of its sizes may in shingles is never made. This bound is exact, and what it costs follows neither a text's length nor how many others have its
+shingles. So a large group of near copies costs no pairs by the square. In the finest index all other pairs of different components are held against their bits; that is by the square
+only where over LIST_ROWS texts agree in 12 least values and still aren't linked. From some 2,300 shingles on the bits rule out nothing; pairs within lists are then held against their shingles at once.
 Every pair is held against its shingles; no link is under LEAST. Equal sets of shingles are one node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.components import components
@@ -31,6 +33,8 @@ LEAST = (4, 5)
 #: Rows and bands of the indexes.
 LEVELS = ((4, 20), (8, 60), (12, 130))
 LIST_ROWS = 64
+#: Longs of a text's parity bits, a power of two.
+MARK_WORDS = 16
 #: Beyond so many rows a list of nodes isn't broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -90,6 +94,14 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_nodes(values, first)), _lists_of(_bands(values, first))], names=["doc_id", "node", "bands"])
 
 
+def _marks(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """MARK_WORDS longs for each text: each bit is the parity of the number of shingles that fall on it."""
+    width = MARK_WORDS * 64
+    at = np.repeat(np.arange(len(first) - 1), np.diff(first)) * width + (values >> np.uint64(65 - width.bit_length())).astype(np.int64)
+    odd = np.bincount(at, minlength=(len(first) - 1) * width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, MARK_WORDS)
+
+
 def _finer_rows(level: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -98,7 +110,7 @@ def _finer_rows(level: int):
                 sets = batch.column(1)
                 values, size = sets.flatten().to_numpy().view(np.uint64), np.diff(sets.offsets.to_numpy())
                 bands = _lists_of(_bands(values, np.concatenate([[0], np.cumsum(size)]), level))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), bands], names=["node", "n", "shared", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), bands], names=["node", "bands"])
     return rows
 
 
@@ -107,7 +119,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, bounds in slices(batches):
         values, first = shingles_of(data, bounds)
         sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, first)), sets], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, first)), sets, _lists_of(_marks(values, first))], names=["node", "shingles", "marks"])
 
 
 def _true(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,7 +131,7 @@ def _true(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _index(nodes: DataFrame) -> DataFrame:
-    return nodes.select(*[c for c in nodes.columns if c in ("node", "root", "n", "shared")], F.posexplode("bands").alias("band", "key"))
+    return nodes.select(*[c for c in nodes.columns if c in ("node", "root")], F.posexplode("bands").alias("band", "key"))
 
 
 def few(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -138,25 +150,15 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _bounded(nodes: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, shingles, n, shared) of the nodes that may be linked with one of another component among them: n shingles, of which
-    shared are in some other component's set. As a link needs LEAST of the larger set, nodes with fewer shared ones are left out."""
-    here = stored(_rooted(nodes.distinct(), roots).join(sets.select("node", "shingles"), "node"))
-    held = here.select("node", "root", F.explode("shingles").alias("shingle"))
-    both = held.groupBy("shingle").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first != last").select("shingle")
-    shared = held.join(both, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
-    return here.join(few(stored(shared)), "node").select("node", "shingles", F.size("shingles").alias("n"), "shared") \
-        .filter(F.col("shared") * LEAST[1] >= F.col("n") * LEAST[0])
-
-
-def _across(lists: DataFrame) -> DataFrame:
-    """All pairs of different components within lists, but for those whose bound rules a link out."""
-    one, two = (lists.select("band", "key", F.col("node").alias(n), F.col("root").alias(r), *[F.col(c).alias(c + n) for c in lists.columns if c in ("n", "shared")])
-                for n, r in (("u", "p"), ("v", "q")))
-    wanted = F.expr("u < v and p != q")
-    if "shared" in lists.columns:
-        wanted &= F.least("sharedu", "sharedv") * sum(LEAST) >= (F.col("nu") + F.col("nv")) * LEAST[0]
-    return one.join(two, ["band", "key"]).filter(wanted).select("u", "v")
+def _across(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of different components within lists, but for those whose parity bits rule a link out: of n + m shingles linked texts
+    differ in (n + m) * (LEAST[1] - LEAST[0]) / sum(LEAST) at most."""
+    marks = sets.select("node", F.size("shingles").alias("n"), *[F.col("marks")[k].alias(f"m{k}") for k in range(MARK_WORDS)])
+    marked = lists.select("band", "key", "node", "root").join(marks, "node")
+    one, two = (marked.select("band", "key", *[F.col(c).alias(c + side) for c in marked.columns if c not in ("band", "key")]) for side in "uv")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"m{k}u").bitwiseXOR(F.col(f"m{k}v"))) for k in range(MARK_WORDS)])
+    wanted = F.expr("nodeu < nodev and rootu != rootv") & (differ * sum(LEAST) <= (F.col("nu") + F.col("nv")) * (LEAST[1] - LEAST[0]))
+    return one.join(two, ["band", "key"]).filter(wanted).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))
 
 
 def near_copy_groups(docs: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -183,7 +185,7 @@ def _classes(docs: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
     # A list's least node may be nobody's best one, so all that meet are needed.
     chosen = stored(nodes.select("node", "doc_id").join(index.select("node").distinct(), "node", "left_semi"))
     ids = few(chosen.select("doc_id").distinct())
-    sets = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(_set_rows, "node long, shingles array<long>")
+    sets = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(_set_rows, "node long, shingles array<long>, marks array<long>")
     sets = stored(sets.join(few(chosen.select("node")), "node", "left_semi").dropDuplicates(["node"]))
     links = stored(_true(best, sets))
     roots = components(links)
@@ -192,7 +194,7 @@ def _classes(docs: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
         lists = stored(_open_lists(index))
         long = lists.filter(F.col("rows") > list_rows)
         last = level == len(LEVELS) - 1
-        pairs = _across(lists if last else lists.filter(F.col("rows") <= list_rows))
+        pairs = _across(lists if last else lists.filter(F.col("rows") <= list_rows), sets)
         if not last:
             pairs = pairs.union(long.filter("root != least_root").select(F.col("least").alias("u"), F.col("node").alias("v")))
         found = stored(_true(pairs.distinct(), sets))
@@ -201,9 +203,10 @@ def _classes(docs: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
             roots = components(links)
         if last or long.isEmpty():
             break
-        sets = stored(_bounded(long.select("node"), roots, sets))
-        # What a node needs in its lists is put to it before it gives a row for each band.
-        finer = sets.select("node", "shingles", "n", "shared").mapInArrow(_finer_rows(level + 1), "node long, n int, shared long, bands array<long>")
+        sets = stored(sets.join(few(stored(long.select("node").distinct())), "node", "left_semi"))
+        # Dealt out evenly, as each text costs hundreds of random orders and gives a row for each band.
+        finer = sets.select("node", "shingles").repartitionByRange("node").mapInArrow(_finer_rows(level + 1), "node long, bands array<long>")
+        # A root is put to its node before that gives a row for each band.
         index = _index(_rooted(stored(finer), roots))
     rooted = nodes.select("node", F.col("doc_id").alias("first_id")).join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

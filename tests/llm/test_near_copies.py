@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from furrow.llm import near_copies
 from furrow.llm.frames import table
 from furrow.llm.near_copies import near_copy_groups
 
@@ -98,3 +100,32 @@ def test_odd_rows(spark):
     got = near_copy_groups(spark.createDataFrame(rows, "doc_id int, text string, node int, bands string"))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, 1), (1, 1), (None, 1), (None, None), (None, None), (7, 7)], key=repr)
     assert near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parity_bits_never_exceed_the_differing_shingles():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64, 6000, dtype=np.uint64)
+    for size in (1, 2, 50, 400, 5000):
+        a, b = (np.unique(rng.choice(pool[:size + size // 8 + 1], size, replace=False)) for _ in "ab")
+        marks = near_copies._marks(np.concatenate([a, b]), np.array([0, 0, len(a), len(a) + len(b)]))
+        assert marks.shape == (3, near_copies.MARK_WORDS) and not marks[0].any()
+        differ = int(np.bitwise_count((marks[1] ^ marks[2]).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+        assert not (near_copies._marks(a, np.array([0, len(a)])) ^ near_copies._marks(a[::-1], np.array([0, len(a)]))).any()
+
+
+def test_a_family_under_the_least_makes_no_pairs_by_the_square(spark, monkeypatch):
+    """Texts of one family that have all their shingles from others of it, though any two are at 0.67 at most."""
+    rng = random.Random(9)
+    spans = [[" ".join(f"s{i}o{option}w{k}" for k in range(24)) for option in range(2)] for i in range(12)]
+    chosen = sorted([(i, j) for i in range(12) for j in range(i)] + [tuple(rng.sample(range(12), 4)) for _ in range(130)])
+    texts = sorted({" ".join(span[i in c] for i, span in enumerate(spans)) for c in chosen})
+    rows = list(enumerate(texts))
+    made = []
+
+    def counted(pairs, sets, true=near_copies._true):
+        made.append(pairs.count())
+        return true(pairs, sets)
+    monkeypatch.setattr(near_copies, "_true", counted)
+    assert result(near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == [(k, k) for k, _ in rows]
+    assert len(rows) > 2 * near_copies.LIST_ROWS and sum(made) < 10 * len(rows), (len(rows), made)
