@@ -27,8 +27,8 @@ from furrow.llm.words import SLICE_BYTES, mix, slices, spaced, text_buffers, win
 WINDOW = 20
 PREFIX = 8
 GROUP_ROWS = 4_000
-#: A task builds subtrees for so many entries at a time, or for one larger group.
-BATCH_ENTRIES = 20_000
+#: A task builds subtrees for so many entries at a time, or for one larger group. Groups are never cut, so results don't depend on it; a worker's memory does, some 10 KB an entry.
+BATCH_ENTRIES = 5_000
 
 
 def anchors_of(hashes: np.ndarray, text: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

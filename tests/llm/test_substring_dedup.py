@@ -1,8 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from furrow.llm import substring_dedup as module
 from furrow.llm.frames import table
 from furrow.llm.substring_dedup import op1_substring_dedup, substring_dedup
 
@@ -74,3 +78,19 @@ def test_extra_columns_and_no_rows(spark):
 def test_query_over_the_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     assert result(op1_substring_dedup(spark, sf)) == brute(rows)
+
+
+def test_subtrees_of_many_small_groups_take_little_memory():
+    def batches(rows, each=500):
+        rng = np.random.default_rng(1)
+        for at in range(0, rows, each):
+            id_ = np.arange(at, at + each)
+            spans = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 32)) for _ in range(each)]
+            yield pa.RecordBatch.from_arrays([pa.array(id_ // 2), pa.array(np.zeros(each, np.int32)), pa.array(id_), pa.array(np.zeros(each, np.int32)), pa.array(np.full(each, 13, np.int32)),
+                                              pa.array(np.full(each, 2)), pa.array(spans)], names=["prefix", "part", "id", "start", "n", "total", "span"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in module._subtree_rows(module.WINDOW, module.GROUP_ROWS)(batches(25_000))) == 0
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
