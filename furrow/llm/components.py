@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from furrow.llm.frames import stored
 
+#: Stored edges are read by a task for each so many, not by one for each of the files that a round left.
+TASK_EDGES = 100_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each node to the least of them and itself: those above it (large) or those below it and itself (small)."""
@@ -34,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(now)
     while True:
-        now = stored(_star(_star(now, True), False))
+        now = stored(_star(_star(now.coalesce(1 + state[0] // TASK_EDGES), True), False))
         after = _state(now)
         if after == state:
             break
