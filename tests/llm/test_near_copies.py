@@ -102,6 +102,67 @@ def test_odd_rows(spark):
     assert near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_fingerprints_are_majorities_of_votes():
+    rng = np.random.default_rng(4)
+    first = np.array([0, 0, 1, 5, 300, 300, 1000])
+    values = rng.integers(0, 2**64, first[-1], dtype=np.uint64)
+    prints = near_copies.prints_of(values, first)
+    assert prints.shape == (6, near_copies.POSITIONS // 8) and not prints[[0, 4]].any()
+    for t in range(6):
+        own = values[first[t]:first[t + 1]]
+        for k in range(prints.shape[1]):
+            votes = np.concatenate([near_copies._vote(own, 2 * k), near_copies._vote(own, 2 * k + 1)])
+            ones = [sum((int(v) >> bit) & 1 for v in votes) for bit in range(64)]
+            assert prints[t].view(np.uint64)[k] == sum((n > len(own)) << bit for bit, n in enumerate(ones))
+
+
+@pytest.mark.parametrize("shared, more", [(4, (0, 1)), (12, (1, 2)), (100, (12, 13)), (400, (50, 50))])
+def test_fingerprints_at_the_least_meet_in_each_index(shared, more):
+    """Pairs at Jaccard 0.8 agree in many positions, share a key of each index and pass the sketch; others do none of it."""
+    rng = np.random.default_rng(shared)
+    pairs, tallies, strangers = 150, [], []
+    for _ in range(pairs):
+        core, a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (shared, *more))
+        other = rng.integers(0, 2**64, shared, dtype=np.uint64)
+        sets = [np.concatenate([core, a]), np.concatenate([core, b]), other]
+        longs = near_copies.prints_of(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+        same = longs.view(np.uint8)[0] == longs.view(np.uint8)[1]
+        assert all(same[near_copies._position_sets(level)].all(axis=1).any() for level in range(len(near_copies.LEVELS)))
+        assert np.bitwise_count((longs[0] ^ longs[1])[:near_copies.SKETCH].view(np.uint64)).sum() <= near_copies.SKETCH_BITS
+        tallies.append(same.sum())
+        strangers.append((longs.view(np.uint8)[0] == longs.view(np.uint8)[2]).sum())
+    assert min(tallies) >= near_copies.TALLY > max(strangers) and np.mean(tallies) > 66 > 4 > np.mean(strangers)
+
+
+def test_position_sets_are_dealt_evenly():
+    for level, (size, sets) in enumerate(near_copies.LEVELS):
+        places = near_copies._position_sets(level)
+        assert places.shape == (sets, size) and len({tuple(sorted(p)) for p in places.tolist()}) == sets
+        assert np.bincount(places.ravel(), minlength=near_copies.POSITIONS).max() <= -(-sets * size // (near_copies.POSITIONS // size * size))
+
+
+def test_links_come_from_the_byte_index_and_the_tally(spark, monkeypatch):
+    """Without a set of positions on which two texts agree, or with a tally that none reaches, there is no link."""
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(194))
+    docs = spark.createDataFrame([(1, text), (2, edited(rng, text, [60, 120]))], "doc_id long, text string")
+    assert result(near_copy_groups(docs)) == [(1, 1), (2, 1)]
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "TALLY", near_copies.POSITIONS + 1)
+        assert result(near_copy_groups(docs)) == [(1, 1), (2, 2)]
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "LEVELS", ((7, 1), (7, 1)))
+        assert result(near_copy_groups(docs)) == [(1, 1), (2, 2)]
+
+
+def test_the_index_in_many_parts_gives_the_same(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents").select("doc_id", "text").limit(300)
+    whole = result(near_copy_groups(docs))
+    monkeypatch.setattr(near_copies, "PART_ROWS", 1)
+    assert len(near_copies._parts(0, 300, 300)) == 4 and len(near_copies._parts(1, 100, 300)) == 8
+    assert result(near_copy_groups(docs)) == whole
+
+
 def test_parity_bits_never_exceed_the_differing_shingles():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**64, 6000, dtype=np.uint64)
