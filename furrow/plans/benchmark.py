@@ -23,24 +23,62 @@ def candidate_list(kinds: tuple[str, ...], sets: dict[str, list[str]]) -> list[t
     return [("mean_baseline", "none", [])] + [(kind, name, columns) for name, columns in sets.items() for kind in kinds]
 
 
-def predict_candidate(train: DataFrame, test: DataFrame, keys: list[str], kind: str, columns: list[str]) -> DataFrame:
-    """``predicted`` for test rows from a baseline or ridge fitted on the training rows of the same key."""
+def with_candidate(rows: DataFrame, kind: str, columns: list[str], fold: str, name: str) -> DataFrame:
+    """Add ``name``: predictions of a baseline or ridge that is fitted, within crop and unit, on rows of the folds other than the row's own.
+
+    Rows of the fold ``boosting.TEST`` teach nothing. Fits are small tables that are put on the rows; rows are not copied for them.
+    """
     if kind == "mean_baseline":
-        means = train.groupBy(*keys).agg(F.avg("yield").alias("predicted"))
-        return scale.attach(test, means, keys)
+        learn = F.when(F.col(fold) != boosting.TEST, F.col("yield"))
+        sums = scale.cut_lineage(rows.groupBy(*CROP, fold).agg(F.coalesce(F.sum(learn), F.lit(0.0)).alias("__s"), F.count(learn).alias("__n")))
+        means = scale.attach(sums, sums.groupBy(*CROP).agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn")), CROP)
+        means = means.select(*CROP, fold, F.try_divide(F.col("__ts") - F.col("__s"), F.col("__tn") - F.col("__n")).alias(name))
+        return scale.attach(rows, means, [*CROP, fold])
     if kind == "ridge":
-        medians = scale.cut_lineage(scale.group_quantiles(train, keys, {
-            f"__m{i}": (F.col(c).cast("double"), 0.5) for i, c in enumerate(columns)}))
+        fits = linear.ridge_loo_held(rows, CROP, fold, columns, "yield", test=boosting.TEST)
+        values = [F.coalesce(F.col(f"`{c}`").cast("double"), F.get("__fill", F.lit(i))).alias(f"__x{i}") for i, c in enumerate(columns)]
+        out = scale.attach(rows.withColumn("__held", F.col(fold).cast("int")), fits.select(*CROP, "__held", "intercept", "coef", "__fill"), [*CROP, "__held"])
+        out = out.select("*", *values).withColumn(name, linear.linear_value([f"__x{i}" for i in range(len(columns))]))
+        return out.drop("__held", "intercept", "coef", "__fill", *[f"__x{i}" for i in range(len(columns))])
+    raise ValueError(f"Unknown model {kind!r}.")
 
-        def fill(rows: DataFrame) -> DataFrame:
-            out = scale.attach(rows, medians, keys)
-            # A feature empty in training carries nothing; a constant keeps the row usable.
-            return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m{i}"), F.lit(0.0))
-                                    for i, c in enumerate(columns)}).drop(*[f"__m{i}" for i in range(len(columns))])
 
-        params = linear.ridge_loo(scale.cut_lineage(fill(train)), keys, columns, "yield")
-        return linear.predict_linear(fill(test), params, keys, columns, "predicted")
-    raise ValueError(f"Unknown model {kind!r}.")
+def with_candidates(rows: DataFrame, kinds: tuple[str, ...], sets: dict[str, list[str]], fold: str, prefix: str) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """Rows with a column for each baseline or ridge candidate, and those columns by (model, feature set)."""
+    names = {}
+    for kind, name, columns in candidate_list([k for k in kinds if k != "gbm"], sets):
+        names[kind, name] = f"{prefix}_{len(names)}"
+        rows = with_candidate(rows, kind, columns, fold, names[kind, name])
+    return rows, names
+
+
+def told(rows: DataFrame, names: dict[tuple[str, str], str], *more: str) -> DataFrame:
+    """IDS, ``more``, model, feature_set and predicted: a row for each candidate's column."""
+    each = F.array(*[F.struct(F.lit(kind).alias("model"), F.lit(name).alias("feature_set"), F.col(column).alias("predicted")) for (kind, name), column in names.items()])
+    return rows.select(*IDS, *more, F.explode(each).alias("e")).select(*IDS, *more, "e.*")
+
+
+def once(sets: dict[str, list[str]]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """The first feature set of each list of columns, and all names of each: sets of the same columns are fitted, predicted and scored once."""
+    first: dict[tuple, str] = {}
+    alike: dict[str, list[str]] = {}
+    for name, columns in sets.items():
+        alike.setdefault(first.setdefault(tuple(columns), name), []).append(name)
+    return {name: sets[name] for name in alike}, alike
+
+
+def for_all_names(rows: DataFrame, alike: dict[str, list[str]]) -> DataFrame:
+    """Rows of a feature set again under each name of the same columns."""
+    names = [F.struct(F.lit(a).alias("of"), F.lit(name).alias("name")) for a, found in {**alike, "none": ["none"]}.items() for name in found]
+    mine = F.transform(F.filter(F.array(*names), lambda n: n["of"] == F.col("feature_set")), lambda n: n["name"])
+    others = [c for c in rows.columns if c != "feature_set"]
+    return rows.select(*others, F.explode(mine).alias("feature_set")).select(*rows.columns)
+
+
+def slim(table: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """The columns that models and scores read."""
+    columns = dict.fromkeys(c for names in sets.values() for c in names)
+    return table.select(*IDS, *[F.col(f"`{c}`") for c in columns if c not in IDS])
 
 
 def add_fold(table: DataFrame, split: str, name: str = "fold", folds_n: int = 5) -> DataFrame:
@@ -58,16 +96,6 @@ def add_fold(table: DataFrame, split: str, name: str = "fold", folds_n: int = 5)
     return scale.attach(keyed, dealt, ["__g"]).drop("__g", "__c", "__groups")
 
 
-def out_of_fold(rows: DataFrame, kind: str, columns: list[str]) -> DataFrame:
-    """Out-of-fold predictions of every crop in one pass: rows repeat once per other fold as training rows."""
-    list_of_folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
-    slim = rows.select(*IDS, "fold", *[c for c in columns if c not in IDS])
-    stacked = slim.withColumn("held", F.explode(F.array(*[F.lit(f) for f in list_of_folds])))
-    train = stacked.where("fold <> held")
-    test = slim.withColumn("held", F.col("fold"))
-    return predict_candidate(train, test, CROP + ["held"], kind, columns).select(*IDS, "predicted")
-
-
 def benchmark_field_yield(table: DataFrame, *, min_rows: int = 10, kinds: tuple[str, ...] = ("ridge", "gbm"),
                           sets: dict[str, list[str]] = BENCHMARK_FEATURE_SETS,
                           splits: tuple[str, ...] = ("year", "section"), **options) -> tuple[DataFrame, DataFrame]:
@@ -75,33 +103,32 @@ def benchmark_field_yield(table: DataFrame, *, min_rows: int = 10, kinds: tuple[
 
     Boosted trees of all crops, folds, splits and feature sets are grown together (see ``boosting``); ``options`` are theirs.
     """
-    rows = min_group_size(table, CROP, min_rows)
+    sets, alike = once(sets)
+    rows = min_group_size(scale.cut_lineage(slim(table, sets), wide=True), CROP, min_rows)
     for split in splits:
         rows = add_fold(rows, split, f"__{split}")
-    rows = scale.cut_lineage(rows)
+    rows = scale.cut_lineage(rows, wide=True)
+    for split in splits:
+        rows = with_candidate(rows, "mean_baseline", [], f"__{split}", f"__base_{split}")
     parts, counts = [], []
     for split in splits:
-        usable = rows.where(F.col(f"__{split}").isNotNull()).withColumn("fold", F.col(f"__{split}"))
-        counts.append(usable.groupBy(*CROP).agg(F.count_distinct("fold").alias("folds")).withColumn("split", F.lit(split)))
-        fitted: dict[tuple, DataFrame] = {}
-        for kind, name, columns in candidate_list([k for k in kinds if k != "gbm"], sets):
-            same = (kind, *columns)
-            fitted[same] = fitted[same] if same in fitted else scale.cut_lineage(out_of_fold(usable, kind, columns))
-            parts.append(fitted[same].withColumns({"split": F.lit(split), "feature_set": F.lit(name), "model": F.lit(kind)}))
+        usable = rows.where(F.col(f"__{split}").isNotNull())
+        counts.append(usable.groupBy(*CROP).agg(F.count_distinct(f"__{split}").alias("folds"), F.count_distinct("year").alias("years"),
+                                                F.count_distinct("section_key").alias("sections")).withColumn("split", F.lit(split)))
+        fitted, names = with_candidates(usable, kinds, sets, f"__{split}", "__p")
+        parts.append(told(fitted, names, f"__base_{split}").withColumnRenamed(f"__base_{split}", "pred_baseline").withColumn("split", F.lit(split)))
     if "gbm" in kinds:
-        grown = boosting.boosted_folds(rows, CROP, "yield", IDS, [f"__{s}" for s in splits], sets, **options)
-        parts.append(grown.withColumns({"split": F.substring("split", 3, 100), "model": F.lit("gbm")}))
-    predictions = scale.cut_lineage(reduce(DataFrame.unionByName, parts))
-    base = predictions.where("model = 'mean_baseline'").select("split", *[c for c in IDS if c != "yield"],
-                                                               F.col("predicted").alias("pred_baseline"))
-    scored = scale.attach(predictions, base.dropDuplicates(["split", "field_key", "year", *CROP]).drop("section_key"),
-                          ["split", "field_key", "year", *CROP])
+        bases = [f"__base_{s}" for s in splits]
+        grown = boosting.boosted_folds(rows, CROP, "yield", [*IDS, *bases], [f"__{s}" for s in splits], sets, **options)
+        of = reduce(lambda rest, s: F.when(F.col("split") == f"__{s}", F.col(f"__base_{s}")).otherwise(rest), splits, F.lit(None).cast("double"))
+        parts.append(grown.withColumns({"pred_baseline": of, "split": F.substring("split", 3, 100), "model": F.lit("gbm")}).drop(*bases))
+    scored = reduce(DataFrame.unionByName, parts)
     keys = CROP + ["split", "feature_set", "model"]
-    metrics = regression_metrics(scored, keys, baseline="pred_baseline")
-    facts = predictions.groupBy(*keys).agg(F.count_distinct("year").alias("years"),
-                                           F.count_distinct("section_key").alias("sections"))
-    folded = reduce(DataFrame.unionByName, counts)
-    return metrics.join(facts, keys).join(folded, [*CROP, "split"]).withColumnsRenamed({"n": "field_years", "skill": "mae_skill"}), predictions
+    metrics = for_all_names(scale.cut_lineage(regression_metrics(scored, keys, baseline="pred_baseline")), alike)
+    facts = reduce(DataFrame.unionByName, counts)
+    out = metrics.join(facts, [*CROP, "split"]).withColumnsRenamed({"n": "field_years", "skill": "mae_skill"})
+    predictions = for_all_names(scored, alike).select(*IDS, "predicted", "split", "feature_set", "model")
+    return out.select(*CROP, "split", *[c for c in out.columns if c not in (*CROP, "split", *facts.columns)], "years", "sections", "folds"), predictions
 
 
 def holdout_with_margin(table: DataFrame, *, test_year: int, min_rows: int = 10, min_improvement: float = 0.0,
@@ -114,7 +141,9 @@ def holdout_with_margin(table: DataFrame, *, test_year: int, min_rows: int = 10,
     """
     if not 0 <= min_improvement < 1:
         raise ValueError("min_improvement is a share from 0 to below 1")
-    rows = scale.cut_lineage(min_group_size(table, CROP, min_rows))
+    listed = candidate_list(kinds, sets)
+    sets, alike = once(sets)
+    rows = scale.cut_lineage(min_group_size(scale.cut_lineage(slim(table, sets), wide=True), CROP, min_rows), wide=True)
     status = scale.cut_lineage(rows.groupBy(*CROP).agg(
         F.count_if(F.col("year") < test_year).alias("dev_field_years"),
         F.count_distinct(F.when(F.col("year") < test_year, F.col("year"))).alias("dev_years"),
@@ -122,27 +151,23 @@ def holdout_with_margin(table: DataFrame, *, test_year: int, min_rows: int = 10,
             (F.col("test_field_years") == 0) | (F.col("dev_years") < 2),
             "skipped: no test rows or under two development years").otherwise("scored")))
     usable = rows.join(F.broadcast(status.where("status = 'scored'").select(*CROP)), CROP, "left_semi")
-    dev, test = usable.where(F.col("year") < test_year), usable.where(F.col("year") == test_year)
-    dev = scale.cut_lineage(add_fold(dev, "year"))
-    test = scale.cut_lineage(test.withColumn("fold", F.lit(boosting.TEST)))
-    grown = None
+    # One run gives both: rows of the test season teach nothing and are predicted from all others.
+    dev, test = add_fold(usable.where(F.col("year") < test_year), "year"), usable.where(F.col("year") == test_year)
+    both = scale.cut_lineage(dev.unionByName(test.withColumn("fold", F.lit(boosting.TEST))), wide=True)
+    fitted, names = with_candidates(both, kinds, sets, "fold", "__p")
+    scored = told(fitted, names)
     if "gbm" in kinds:
-        # One run gives both: rows of the test season teach nothing and are predicted from all others.
-        grown = scale.cut_lineage(boosting.boosted_folds(dev.unionByName(test), CROP, "yield", IDS, ["fold"], sets, **options))
-    listed = candidate_list(kinds, sets)
-    errors, finals = [], []
-    for position, (kind, name, columns) in enumerate(listed):
-        tag = {"position": F.lit(position), "model": F.lit(kind), "feature_set": F.lit(name)}
-        if kind == "gbm":
-            own = grown.where(F.col("feature_set") == name).select(*IDS, "predicted")
-            held, final = own.where(F.col("year") < test_year), own.where(F.col("year") == test_year)
-        else:
-            slim = [c for c in columns if c not in IDS]
-            held = out_of_fold(dev, kind, columns)
-            final = predict_candidate(dev.select(*IDS, *slim), test.select(*IDS, *slim), CROP, kind, columns).select(*IDS, "predicted")
-        errors.append(regression_metrics(held, CROP).select(*CROP, F.col("mae").alias("dev_mae")).withColumns(tag))
-        finals.append(final.withColumns(tag))
-    selection = scale.cut_lineage(reduce(DataFrame.unionByName, errors))
+        grown = boosting.boosted_folds(both, CROP, "yield", IDS, ["fold"], sets, **options)
+        scored = scored.unionByName(grown.drop("split").withColumn("model", F.lit("gbm")))
+    candidates = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(kind).alias("model"), F.lit(name).alias("feature_set")) for i, (kind, name, _) in enumerate(listed)])
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """``position`` of the candidate."""
+        same = F.filter(candidates, lambda c: (c["model"] == F.col("model")) & (c["feature_set"] == F.col("feature_set")))
+        return rows.withColumn("position", F.get(same, F.lit(0))["position"])
+
+    errors = scale.cut_lineage(regression_metrics(scored.where(F.col("year") < test_year), [*CROP, "model", "feature_set"]))
+    selection = scale.cut_lineage(placed(for_all_names(errors, alike)).select(*CROP, F.col("mae").alias("dev_mae"), "position", "model", "feature_set"))
     model_rows = F.col("position") > 0
     best = selection.groupBy(*CROP).agg(
         F.max(F.when(~model_rows, F.col("dev_mae"))).alias("dev_mae_baseline"),
@@ -155,11 +180,12 @@ def holdout_with_margin(table: DataFrame, *, test_year: int, min_rows: int = 10,
         F.when(wins, F.col("b.model")).otherwise("mean_baseline").alias("chosen_model"),
         F.when(wins, F.col("b.feature_set")).otherwise("none").alias("chosen_feature_set"),
         F.when(wins, F.col("b.dev_mae")).otherwise(F.col("dev_mae_baseline")).alias("dev_mae_chosen")))
-    scored = reduce(DataFrame.unionByName, finals).join(F.broadcast(choice), CROP)
+    finals = placed(for_all_names(scored.where(F.col("year") == test_year), alike)).drop("model", "feature_set").join(F.broadcast(choice), CROP)
+    finals = finals.where((F.col("position") == 0) | (F.col("position") == F.col("chosen")))
     keys = [c for c in IDS if c != "section_key"]
-    predictions = scale.cut_lineage(scored.groupBy(*keys, "section_key", "chosen_model", "chosen_feature_set").agg(
+    predictions = scale.cut_lineage(finals.groupBy(*keys, "section_key", "chosen_model", "chosen_feature_set").agg(
         F.max(F.when(F.col("position") == F.col("chosen"), F.col("predicted"))).alias("predicted_chosen"),
-        F.max(F.when(F.col("position") == 0, F.col("predicted"))).alias("predicted_baseline")))
+        F.max(F.when(F.col("position") == 0, F.col("predicted"))).alias("predicted_baseline")), wide=True)
     final = regression_metrics(predictions, CROP, predicted="predicted_chosen", baseline="predicted_baseline").select(
         *CROP, F.col("mae").alias("test_mae_chosen"), F.col("baseline_mae").alias("test_mae_baseline"),
         F.col("rmse").alias("test_rmse_chosen"), F.col("bias").alias("test_bias_chosen"),

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from furrow.plans import boosting
+from furrow.plans import benchmark, boosting
 from furrow.plans.boosting import TEST, boosted_folds
 
 SCHEMA = "key string, id int, fold int, half int, a double, b double, y double"
@@ -105,3 +105,33 @@ def test_jobs_do_not_follow_keys(spark):
         assert jobs(12) <= jobs(2) + 4
     finally:
         spark.sparkContext.setJobGroup("", "")
+
+
+def test_cells_and_rows_grow_the_same_trees(spark, monkeypatch):
+    """Also where more rows than cells share their bins, and the held-out folds of a split are dealt to several tasks."""
+    rows, sets = table_of(6, n=200), {"both": ["b", "a"], "b": ["b"]}
+    cells, listed = predictions(spark, rows, 6, sets, bins=8)
+    monkeypatch.setattr(boosting, "FOLDS_A_TASK", 1)
+    assert predictions(spark, rows, 6, sets, bins=8)[0] == pytest.approx(cells)
+    monkeypatch.setattr(boosting, "MAX_CELLS", 8)
+    mixed, listed_too = predictions(spark, rows, 6, sets, bins=8)
+    assert len(listed) == len(listed_too) == len(cells) == 200 * 3 * 2 + 200 * 2 * 2 and mixed == pytest.approx(cells)
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+FIELDS = "field_key string, section_key string, year int, crop string, yield_unit string, x double, yield double"
+FIELD_ROWS = [(f"f{i}", f"s{i % 4}", 2020 + i % 3, "oats", "bu/ac", float(i % 10) if i % 9 else None, 5.0 * (i % 10)) for i in range(60)]
+
+
+def test_field_benchmark_jobs_do_not_follow_trees(spark):
+    rows = spark.createDataFrame(FIELD_ROWS, FIELDS)
+    few, many = (jobs_of(spark, f"field-{n}", lambda n=n: benchmark.benchmark_field_yield(rows, kinds=("gbm",), sets={"x": ["x"]}, splits=("year",), iterations=n)[0].collect()) for n in (2, 12))
+    assert many <= few + 4

@@ -52,6 +52,27 @@ def test_ridge_loo_matches_leaving_rows_out(spark, monkeypatch, width):
         assert np.allclose(r.coef, coef) and r.intercept == pytest.approx(intercept)
 
 
+def test_ridge_of_held_out_folds_is_ridge_on_the_others(spark, monkeypatch):
+    """Gaps, a feature that is empty outside a fold, a NULL key, a missing label and rows that teach nothing."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for key in ("a", None):
+        for i in range(60):
+            x = rng.normal(size=2)
+            gap = (key == "a" and i % 7 == 0) or (key is None and i % 4 != 1)
+            rows.append((key, -5 if i % 10 == 9 else i % 4, None if gap else float(x[0]), float(x[1]), None if i == 8 else float(3 * x[0] - x[1] + rng.normal())))
+    df = spark.createDataFrame(rows, "crop string, fold int, x double, z double, y double")
+    monkeypatch.setattr(linear, "LOO_CHUNK_ROWS", 16)
+    got = {(r.crop, r["__held"]): r for r in linear.ridge_loo_held(df, ["crop"], "fold", ["x", "z"], "y", test=-5).collect()}
+    assert set(got) == {(k, f) for k in ("a", None) for f in (0, 1, 2, 3, -5)}
+    for (key, held), fit in got.items():
+        others = df.where(F.col("crop").eqNullSafe(F.lit(key)) & ~F.col("fold").isin(held, -5))
+        median = others.agg(F.median("x")).first()[0] or 0.0
+        want = linear.ridge_loo(others.fillna({"x": median}), ["crop"], ["x", "z"], "y").first()
+        assert fit["__fill"] == pytest.approx([median, 0.0])
+        assert (fit.alpha, fit.n, fit.intercept, *fit.coef) == pytest.approx((want.alpha, want.n, want.intercept, *want.coef))
+
+
 def test_ols_with_a_constant_column(spark):
     df = spark.createDataFrame([(float(i), 1.0, 3.0 + 2.0 * i) for i in range(10)], "x double, c double, y double")
     row = linear.fit_linear(linear.moments(df, [], ["x", "c"], "y"), [], 2).first()
