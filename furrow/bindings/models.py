@@ -366,7 +366,7 @@ def field_benchmark(spark, sf):
 
 
 def margin_holdout(spark, sf):
-    rows = scale.cut_lineage(field_table(spark, sf))
+    rows = scale.cut_lineage(benchmark.slim(field_table(spark, sf), SETS), wide=True)
     last = rows.agg(F.max("year")).first()[0]
     return benchmark.holdout_with_margin(rows, test_year=last, min_improvement=0.1, sets=SETS)[1]
 

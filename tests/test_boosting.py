@@ -135,3 +135,9 @@ def test_field_benchmark_jobs_do_not_follow_trees(spark):
     rows = spark.createDataFrame(FIELD_ROWS, FIELDS)
     few, many = (jobs_of(spark, f"field-{n}", lambda n=n: benchmark.benchmark_field_yield(rows, kinds=("gbm",), sets={"x": ["x"]}, splits=("year",), iterations=n)[0].collect()) for n in (2, 12))
     assert many <= few + 4
+
+
+def test_margin_holdout_jobs_do_not_follow_trees(spark):
+    rows = spark.createDataFrame(FIELD_ROWS, FIELDS)
+    few, many = (jobs_of(spark, f"margin-{n}", lambda n=n: benchmark.holdout_with_margin(rows, test_year=2022, kinds=("gbm",), sets={"x": ["x"]}, iterations=n)[1].collect()) for n in (2, 12))
+    assert many <= few + 4
