@@ -27,6 +27,8 @@ from furrow.plans import linear
 
 #: Fits that run at the same time; each is many short jobs that leave most cores idle.
 FITS_AT_ONCE = 4
+#: Nodes of trees that a fit keeps on the driver (some 400 bytes each while they grow); larger forests are grown in lots.
+NODES_AT_ONCE = 300_000
 
 
 def at_once(spark, jobs: list[Callable]) -> list:
@@ -133,13 +135,40 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     train, test, used = prepare_fold(train, test, features, kind)
     rows = assemble(index_labels(folds.class_weights(train, label), label, classes), used).persist()
     try:
-        model = classifier(kind, rows=rows.count(), classes=len(classes), **options).fit(rows)
+        n = rows.count()
+        lots = forest_lots(classifier(kind, **options), n) if kind == "random_forest" else []
+        if len(lots) > 1:
+            return lot_predictions(rows, assemble(test, used), lots, classes, **options)
+        model = classifier(kind, rows=n, classes=len(classes), **options).fit(rows)
     finally:
         rows.unpersist()
     return label_predictions(model, assemble(test, used), classes)
 
 
-def label_predictions(model, rows: DataFrame, classes: list[str]) -> DataFrame:
+def forest_lots(forest, rows: int) -> list[int]:
+    """Trees of each lot of a forest, so that a lot's nodes fit the driver. A bagged tree has some 0.63 of the rows to part."""
+    trees = forest.getNumTrees()
+    nodes = min(2 ** (forest.getMaxDepth() + 1), int(1.3 * max(rows, 1)))
+    lots = -(-trees // max(1, NODES_AT_ONCE // nodes))
+    return [trees // lots + (i < trees % lots) for i in range(lots)]
+
+
+def lot_predictions(rows: DataFrame, test: DataFrame, lots: list[int], classes: list[str], *, seed: int = 42, **options) -> DataFrame:
+    """As ``label_predictions`` of one forest that has the trees of all lots: its probabilities are the trees' mean. A lot is let go before the next one grows."""
+    out = test.withColumn("__sum", F.array_repeat(F.lit(0.0), len(classes)))
+    for place, trees in enumerate(lots):
+        # Seeds of lots lie apart, as callers count seeds up by one.
+        model = classifier("random_forest", seed=seed + 1_000_003 * place, **{**options, "trees": trees}).fit(rows)
+        told = label_predictions(model, out, classes, keep=("features",))
+        out = scale.cut_lineage(told.withColumn("__sum", F.zip_with("__sum", "probabilities", lambda total, p: total + trees * p)).select(*out.columns))
+    probs = F.transform("__sum", lambda p: p / sum(lots))
+    names = F.array(*[F.lit(c) for c in classes])
+    out = out.withColumn("probabilities", probs)
+    return out.withColumn("predicted", F.get(names, (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))) \
+        .select(*[c for c in test.columns if c != "features"], "predicted", "probabilities")
+
+
+def label_predictions(model, rows: DataFrame, classes: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     out = model.transform(rows)
     names = F.array(*[F.lit(c) for c in classes])
     if "probability" in out.columns:
@@ -155,7 +184,7 @@ def label_predictions(model, rows: DataFrame, classes: list[str]) -> DataFrame:
         probs = F.slice(F.concat(probs, F.array_repeat(F.lit(0.0), len(classes))), 1, len(classes))
         predicted = F.get(names, (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
     return out.withColumns({"predicted": predicted, "probabilities": probs}).drop(
-        "features", "rawPrediction", "probability", "prediction")
+        *[c for c in ("features", "rawPrediction", "probability", "prediction") if c not in keep])
 
 
 # --- evaluation -----------------------------------------------------------

@@ -353,6 +353,22 @@ def test_classifiers_separate_planted_classes(spark):
         models.cross_validate(df, ["a", "b"], "crop", "decision_tree", folds_n=50, repeats=1)
 
 
+def test_large_forests_grow_in_lots(spark, monkeypatch):
+    """The driver never holds more trees than a lot has; all lots' trees count alike."""
+    assert models.forest_lots(models.classifier("random_forest"), 400) == [300]
+    lots = models.forest_lots(models.classifier("random_forest"), 100_000)
+    assert sum(lots) == 300 and max(lots) * 2 ** 13 <= models.NODES_AT_ONCE and max(lots) - min(lots) <= 1
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x := rng.normal()), float(rng.normal()), "a" if x > 0.3 else "b" if x > -0.5 else "c") for i in range(240)]
+    df = spark.createDataFrame(rows, "pid int, x double, z double, crop string")
+    grown, real = [], models.classifier
+    monkeypatch.setattr(models, "classifier", lambda kind, **options: (grown.append(options.get("trees")), real(kind, **options))[1])
+    monkeypatch.setattr(models, "NODES_AT_ONCE", 5 * int(1.3 * 160))
+    out = models.fit_predict(df.where("pid % 3 > 0"), df.where("pid % 3 = 0"), ["x", "z"], "crop", ["a", "b", "c"], "random_forest", trees=12, max_depth=8).collect()
+    assert grown == [12, 4, 4, 4] and len(out) == 80
+    assert all(sum(r.probabilities) == pytest.approx(1) for r in out) and sum(r.predicted == r.crop for r in out) > 70
+
+
 def test_one_vs_rest(spark, tmp_path):
     df = separable(spark)
     fitted, manifest = models.one_vs_rest(df, ["a", "b"], "crop", "decision_tree", min_fields=2)
