@@ -5,6 +5,7 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from furrow.columns import PEAK_FEATURES, monthly, S2_INDICES
@@ -443,6 +444,32 @@ def test_historical_splits_are_prepared_once(spark, monkeypatch):
     assert len(calls) == 3  # one for each split, not one for each model and split
 
 
+def test_boosted_trees_of_splits_grow_in_tasks(spark):
+    """As MLlib's trees, with fewer and with more values than bins, in a job for all trees and splits."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3 > 0, float(rng.normal() + 3 * (x > 0) + 2 * (c == 1)), [float(x), float(c), 1.0]) for i, (x, c) in enumerate(zip(rng.normal(size=300), rng.integers(0, 3, 300)))]
+    ready = spark.createDataFrame(rows, "__id long, __train boolean, label double, features array<double>").select("__id", "__train", "label", array_to_vector("features").alias("features"))
+    splits = {-1: ready, 2: ready.withColumn("__train", ~F.col("__train"))}
+    spark.sparkContext.setJobGroup("boosted-splits", "")
+    got = {(r.part, r["__id"]): r.predicted for r in models.boosted_in_tasks(splits, iterations=8).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted-splits"))
+    spark.sparkContext.setJobGroup("", "")
+    want = {(part, r["__id"]): r.predicted for part, rows in splits.items()
+            for r in models.regressor("boosted", iterations=8).fit(rows.where("__train")).transform(rows.where("NOT __train")).collect()}
+    assert len(got) == 300 and got == pytest.approx(want) and jobs <= 3
+
+
+def test_nearest_rows_among_equal_distances(spark):
+    """Ties go to the lower key, also where most rows are equally far and where fewer than k rows are."""
+    points = [(i, [float(i % 3), 0.0], float(i)) for i in range(200)]
+    train = spark.createDataFrame(points, "id long, v array<double>, y double")
+    test = spark.createDataFrame([(i, [x, 0.0]) for i, x in enumerate((0.0, 1.0, 0.5, 9.0))], "id long, v array<double>")
+    for own, block in ((train, 1000), (train, 30), (train.where("id < 3"), 1000)):
+        kept = [p for p in points if own is train or p[0] < 3]
+        want = {r.id: np.mean([p[2] for p in sorted(kept, key=lambda p: (abs(p[1][0] - r.v[0]), p[0]))[:4]]) for r in test.collect()}
+        assert {r.id: r.predicted for r in models.knn_regress(own, test, "id", "v", "y", 4, block=block).collect()} == pytest.approx(want)
+
+
 def test_pixel_yield_reads_rows_once_for_all_folds(spark, monkeypatch):
     rows = [("a", f"f{k % 9}", 2000 + k % 3, f"q{k % 9}", float(3 * (k % 11) + k % 2), float(k % 11), None if k % 6 == 0 else float(k % 5)) for k in range(90)] + [("b", "only", 2000, "q", 1.0, 2.0, 3.0)] * 3
     df = spark.createDataFrame(rows, "crop string, row_id string, year int, quarter_section string, yield_bu_ac double, NDVI_max double, VV_mean double")
