@@ -364,7 +364,7 @@ def test_large_forests_grow_in_lots(spark, monkeypatch):
     df = spark.createDataFrame(rows, "pid int, x double, z double, crop string")
     grown, real = [], models.classifier
     monkeypatch.setattr(models, "classifier", lambda kind, **options: (grown.append(options.get("trees")), real(kind, **options))[1])
-    monkeypatch.setattr(models, "NODES_AT_ONCE", 5 * int(1.3 * 160))
+    monkeypatch.setattr(models, "NODES_AT_ONCE", 5 * int(1.27 * 160))
     out = models.fit_predict(df.where("pid % 3 > 0"), df.where("pid % 3 = 0"), ["x", "z"], "crop", ["a", "b", "c"], "random_forest", trees=12, max_depth=8).collect()
     assert grown == [12, 4, 4, 4] and len(out) == 80
     assert all(sum(r.probabilities) == pytest.approx(1) for r in out) and sum(r.predicted == r.crop for r in out) > 70
